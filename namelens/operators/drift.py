@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from namelens.session import cut_lineage
+
 #: List numbers of the feeds.
 LIST_NUMBERS = {"1": "OFAC", "2": "EU", "3": "UN", "4": "HMT", "5": "SECO"}
 
@@ -125,33 +127,40 @@ def schema_changes(files: DataFrame, records: DataFrame, programs: DataFrame) ->
     written, so that a change of type, of separators, or from codes to numbers does not hide a rename.
     """
     parsed = readable(records)
-    fields = fields_of(parsed)
-    return changes_between(feed_files(files), fields, file_fields(fields, parsed), programs)
+    return changes_between(feed_files(files), parsed, fields_of(parsed), programs)
 
 
-def changes_between(feed: DataFrame, fields: DataFrame, has: DataFrame, programs: DataFrame) -> DataFrame:
-    """``schema_changes`` from files, record fields and file fields that are already computed."""
+def changes_between(feed: DataFrame, parsed: DataFrame, fields: DataFrame, programs: DataFrame) -> DataFrame:
+    """``schema_changes`` from files, readable records and their fields.
+
+    What is written in between has a row for each field of a file, or for each id and vanished or new
+    field of a file pair in which fields of both kinds occur.
+    """
+    has = cut_lineage(file_fields(fields, parsed))
     pairs = _consecutive(feed)
     new = pairs.join(has, "file_name").select("feed_id", "file_seq", "file_name", "before", "path", F.col("type").alias("to_type"))
     old = pairs.join(has.withColumnRenamed("file_name", "before"), "before").select("feed_id", "file_seq", "file_name", "before", "path", F.col("type").alias("from_type"))
-    both = old.join(new, ["feed_id", "file_seq", "file_name", "before", "path"], "full_outer")
+    both = cut_lineage(old.join(new, ["feed_id", "file_seq", "file_name", "before", "path"], "full_outer"))
     gone, come = both.where("to_type IS NULL"), both.where("from_type IS NULL")
     at = ["feed_id", "file_seq", "file_name", "before"]
     # values of vanished fields in the old file, and of new fields in the new one, by id
     numbers = program_map(programs)
     lists = F.create_map(*[F.lit(x.lower()) for kv in LIST_NUMBERS.items() for x in kv])
     known = lambda t: F.coalesce(F.lower(numbers[t]), lists[t], t)
-    values = fields.where("id IS NOT NULL").groupBy("file_name", "path", "id").agg(F.min(F.struct("line_no", "json")).getField("json").alias("json"))
-    values = values.select("file_name", "path", "id", F.transform(content("json"), known).alias("held"))
     open_pairs = gone.select(*at).distinct().join(come.select(*at).distinct(), at)
-    before = gone.join(open_pairs, at, "left_semi").join(values.withColumnRenamed("file_name", "before"), ["before", "path"]).select(*at, "id", F.col("path").alias("from_path"), F.col("held").alias("was"))
-    after = come.join(open_pairs, at, "left_semi").join(values, ["file_name", "path"]).select(*at, "id", F.col("path").alias("to_path"), F.col("held").alias("now"))
-    goes_on = values.select("file_name", "id").distinct()
+    vanished = gone.join(open_pairs, at, "left_semi").select(*at, "path")
+    appeared = come.join(open_pairs, at, "left_semi").select(*at, "path")
+    asked_for = vanished.select(F.col("before").alias("file_name"), "path").union(appeared.select("file_name", "path")).distinct()
+    values = fields.where("id IS NOT NULL").join(asked_for, ["file_name", "path"], "left_semi").groupBy("file_name", "path", "id").agg(F.min(F.struct("line_no", "json")).getField("json").alias("json"))
+    values = cut_lineage(values.select("file_name", "path", "id", F.transform(content("json"), known).alias("held")))
+    before = vanished.join(values.withColumnRenamed("file_name", "before"), ["before", "path"]).select(*at, "id", F.col("path").alias("from_path"), F.col("held").alias("was"))
+    after = appeared.join(values, ["file_name", "path"]).select(*at, "id", F.col("path").alias("to_path"), F.col("held").alias("now"))
+    goes_on = parsed.where("id IS NOT NULL").join(open_pairs.select("file_name"), "file_name", "left_semi").select("file_name", "id").distinct()
     asked = before.join(goes_on, ["file_name", "id"], "left_semi").groupBy(*at, "from_path").agg(F.count(F.lit(1)).alias("asked"))
     same = before.join(after, [*at, "id"]).where(F.arrays_overlap("was", "now")).groupBy(*at, "from_path", "to_path").agg(F.count(F.lit(1)).alias("same"))
     likely = same.join(asked, [*at, "from_path"]).where(F.col("same") >= SAME_CONTENT * F.col("asked"))
     rank = lambda by, other: F.row_number().over(Window.partitionBy(*at, by).orderBy(F.desc("same"), other))
-    renamed = likely.select(*at, "from_path", "to_path", rank("from_path", "to_path").alias("r1"), rank("to_path", "from_path").alias("r2")).where("r1 = 1 AND r2 = 1").drop("r1", "r2")
+    renamed = cut_lineage(likely.select(*at, "from_path", "to_path", rank("from_path", "to_path").alias("r1"), rank("to_path", "from_path").alias("r2")).where("r1 = 1 AND r2 = 1").drop("r1", "r2"))
     moved = (
         renamed.join(gone.select(*at, F.col("path").alias("from_path"), "from_type"), [*at, "from_path"])
         .join(come.select(*at, F.col("path").alias("to_path"), "to_type"), [*at, "to_path"])
@@ -247,8 +256,8 @@ def consistent_records(files: DataFrame, records: DataFrame, programs: DataFrame
     parsed = readable(records)
     fields = fields_of(parsed)
     feed = feed_files(files)
-    changes = changes_between(feed, fields, file_fields(fields, parsed), programs)
-    rules = migration_rules(feed, changes, fields, programs)
+    changes = cut_lineage(changes_between(feed, parsed, fields, programs))
+    rules = cut_lineage(migration_rules(feed, changes, fields, programs))
     numbers = program_map(programs)
     lists = F.create_map(*[F.lit(x) for kv in LIST_NUMBERS.items() for x in kv])
     lines = parsed.groupBy("file_name", "line_no").agg(F.max("id").alias("id"))
