@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from namelens.llm import bpe, lookalikes, packing
+from namelens.llm import bpe, lookalikes, packing, truncation
 from namelens.session import table
 
 
@@ -28,5 +28,15 @@ def p7_assigned(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack_texts(table(spark, d, "documents"), table(spark, d, "pack_limit"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_forms, p6_ids, p7_assigned)}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents whose text was cut off."""
+    return truncation.cut_texts(table(spark, d, "documents"))
+
+
+def p8_sources(spark: SparkSession, d: str) -> DataFrame:
+    """How often each source cuts texts, and at what length."""
+    return truncation.cut_by_source(table(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p4_found, p4_forms, p6_ids, p7_assigned, p8_found, p8_sources)}
 ORACLE_SQL: dict[str, str] = {}
