@@ -62,7 +62,7 @@ def fold(value: str) -> tuple[str, ...]:
     return tuple(w for w in _WORDS.split(joined) if w)
 
 
-@lru_cache(maxsize=1 << 16)
+@lru_cache(maxsize=1 << 18)
 def sound(word: str) -> str:
     """A word without the differences that transliteration makes, and without doubled letters."""
     for a, b in _ENDINGS:
@@ -78,7 +78,7 @@ def sound(word: str) -> str:
     return "".join(out)
 
 
-@lru_cache(maxsize=1 << 16)
+@lru_cache(maxsize=1 << 18)
 def consonants(word: str) -> str:
     return "".join(c for c in sound(word).replace("c", "k").replace("z", "s") if c not in "aeiou")
 
@@ -104,15 +104,45 @@ def edits(a: str, b: str, most: int) -> int:
     return min(row[-1], most + 1)
 
 
-@lru_cache(maxsize=1 << 16)
+def _left_out(word: str) -> set[str]:
+    """A word, and the same with each letter left out: two words one error apart have one of these in common."""
+    return {word} | {word[:i] + word[i + 1 :] for i in range(len(word))}
+
+
+_NEAR: dict[str, set[str]] = {}
+for _w in _ALIKE:
+    if len(_w) >= 4:
+        for _part in _left_out(_w):
+            _NEAR.setdefault(_part, set()).add(_w)
+_LONGEST = max(map(len, _ALIKE))
+
+
+@lru_cache(maxsize=1 << 18)
 def _nicknames(word: str) -> frozenset[int]:
     """The nickname groups of a word, one typing error allowed in longer ones."""
     found = _ALIKE.get(word, set())
-    if not found and len(word) >= 4:
-        found = {g for known, groups in _ALIKE.items() if len(known) >= 4 and edits(word, known, 1) <= 1 for g in groups}
+    if not found and 4 <= len(word) <= _LONGEST + 1:
+        near = set().union(*(_NEAR.get(part, ()) for part in _left_out(word)))
+        found = {g for known in near if edits(word, known, 1) <= 1 for g in _ALIKE[known]}
     return frozenset(found)
 
 
+@lru_cache(maxsize=1 << 18)
+def _letters(word: str) -> int:
+    """The letters of a word as bits."""
+    bits = 0
+    for c in word:
+        bits |= 1 << (ord(c) % 61)
+    return bits
+
+
+def _within(a: str, b: str, most: int) -> int:
+    """``edits``, told apart at once where the letters differ in more than so many edits can change."""
+    if abs(len(a) - len(b)) > most or (_letters(a) ^ _letters(b)).bit_count() > 2 * most:
+        return most + 1
+    return edits(a, b, most)
+
+
 @lru_cache(maxsize=1 << 18)
 def word_agreement(a: str, b: str) -> float:
     """How well two words agree: 1 equal, 0 not at all."""
@@ -131,7 +161,7 @@ def word_agreement(a: str, b: str) -> float:
         return 0.9
     longest = max(len(x), len(y))
     most = 1 if longest <= 4 else 2 if longest <= 8 else 3
-    if longest > 2 and (d := min(edits(x, y, most), edits(a, b, most))) <= most and (longest > 3 or x[0] == y[0]):
+    if longest > 2 and (d := min(_within(x, y, most), _within(a, b, most))) <= most and (longest > 3 or x[0] == y[0]):
         return 1 - 0.6 * d / longest
     if min(len(consonants(a)), len(consonants(b))) >= 2 and consonants(a) == consonants(b) and len(b) <= 9:
         return 0.8
