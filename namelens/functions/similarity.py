@@ -7,6 +7,7 @@ Python is spread over the batch.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 
 PREFIX_LETTERS = 4
 PREFIX_WEIGHT = 0.1
@@ -127,21 +128,117 @@ def token_match_pairs(queries: list[tuple[str, ...]], targets: list[tuple[str, .
     values = token_pairs([x for x, _ in known], [y for _, y in known]) if known else np.zeros(0)
     for (nq, nt), own in shapes.items():
         index = np.array([[[known[x, y] for y in targets[k]] for x in queries[k]] for k in own])
-        score = values[index]
-        score[:, -1, -1] = np.minimum(score[:, -1, -1] + LAST_TOKEN_BOOST, 1.0)
-        total, matches, rows = np.zeros(len(own)), np.zeros(len(own)), np.arange(len(own))
-        used = np.zeros((len(own), nt), bool)
-        for i in range(nq):
-            row = np.where(used, -1.0, score[:, i, :])
-            best = row.argmax(axis=1)
-            value = row[rows, best]
-            took = value > 0
-            used[rows[took], best[took]] = True
-            total += np.where(took, value, 0.0)
-            matches += took
-        out[own] = np.maximum(total / max(nq, nt) - (nq + nt - 2 * matches) * UNMATCHED_COST, 0.0)
+        out[own] = _greedy(values[index])
     return out
 
 
+def _greedy(score: np.ndarray) -> np.ndarray:
+    """Token match of pairs with the same numbers of tokens, from their token similarities (pair, query, target)."""
+    n, nq, nt = score.shape
+    score = score.copy()
+    score[:, -1, -1] = np.minimum(score[:, -1, -1] + LAST_TOKEN_BOOST, 1.0)
+    total, matches, rows = np.zeros(n), np.zeros(n), np.arange(n)
+    used = np.zeros((n, nt), bool)
+    for i in range(nq):
+        row = np.where(used, -1.0, score[:, i, :])
+        best = row.argmax(axis=1)
+        value = row[rows, best]
+        took = value > 0
+        used[rows[took], best[took]] = True
+        total += np.where(took, value, 0.0)
+        matches += took
+    return np.maximum(total / max(nq, nt) - (nq + nt - 2 * matches) * UNMATCHED_COST, 0.0)
+
+
 def token_match(query: list[str], target: list[str]) -> float:
     return float(token_match_pairs([tuple(query)], [tuple(target)])[0])
+
+
+class Texts:
+    """The distinct texts of one side of a batch of pairs, as arrays: characters, letter counts, tokens."""
+
+    def __init__(self, texts: list[str], vocabulary: dict[str, int]):
+        self.codes, self.lengths = _codes(texts)
+        n = len(texts)
+        rows = np.repeat(np.arange(n), self.codes.shape[1])
+        inside = (np.arange(self.codes.shape[1]) < self.lengths[:, None]).ravel()
+        bins = rows[inside] * _BINS + self.codes.ravel()[inside] % _BINS
+        self.counts = np.bincount(bins, minlength=n * _BINS).reshape(n, _BINS).astype(np.int16)
+        split = [t.split() for t in texts]
+        self.n_tokens = np.array([len(x) for x in split], np.int64)
+        self.tokens = np.full((n, int(self.n_tokens.max(initial=1)) or 1), -1, np.int64)
+        for i, x in enumerate(split):
+            for j, token in enumerate(x):
+                self.tokens[i, j] = vocabulary.setdefault(token, len(vocabulary))
+
+
+#: Classes of characters that are counted together for the bound on common characters.
+_BINS = 32
+
+
+def scored_pairs(left: np.ndarray, right: np.ndarray, threshold: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(token score, string score) of pairs of texts, the latter 0 unless it may reach the threshold and the former does not."""
+    left_code, left_texts = pd.factorize(left)
+    right_code, right_texts = pd.factorize(right)
+    vocabulary: dict[str, int] = {}
+    a, b = Texts(list(left_texts), vocabulary), Texts(list(right_texts), vocabulary)
+    words = list(vocabulary)
+    spelt = Texts(words, {})
+    token = np.zeros(len(left))
+    shape = a.n_tokens[left_code] * (int(b.n_tokens.max(initial=0)) + 1) + b.n_tokens[right_code]
+    for own in _groups(shape):
+        nq, nt = int(a.n_tokens[left_code[own[0]]]), int(b.n_tokens[right_code[own[0]]])
+        # what matched tokens can add up to at most
+        if not nq or not nt:
+            continue
+        best = min(nq, nt) / max(nq, nt) - UNMATCHED_COST * abs(nq - nt)
+        own = own[threshold[own] <= best + 1e-9]
+        for part in np.array_split(own, max(1, len(own) * nq * nt // _CELLS * _BINS)):
+            x, y = a.tokens[left_code[part], :nq, None], b.tokens[right_code[part], None, :nt]
+            most = _token_bounds(spelt, x, y)
+            most[:, -1, -1] = np.minimum(most[:, -1, -1] + LAST_TOKEN_BOOST, 1.0)
+            reach = np.minimum(most.max(axis=2).sum(axis=1), most.max(axis=1).sum(axis=1)) / max(nq, nt) - UNMATCHED_COST * abs(nq - nt)
+            some = reach >= threshold[part] - 1e-9
+            if some.any():
+                ids = (x * len(words) + y)[some]
+                pairs, back = np.unique(ids, return_inverse=True)
+                values = token_pairs([words[i // len(words)] for i in pairs], [words[i % len(words)] for i in pairs])
+                token[part[some]] = _greedy(values[back].reshape(ids.shape))
+    low = np.flatnonzero(token < threshold)
+    i, j = left_code[low], right_code[low]
+    la, lb = a.lengths[i], b.lengths[j]
+    common = np.minimum(a.counts[i], b.counts[j]).sum(axis=1)
+    k = min(PREFIX_LETTERS, a.codes.shape[1], b.codes.shape[1])
+    prefix = np.cumprod((a.codes[i, :k] == b.codes[j, :k]) & (np.arange(k) < np.minimum(la, lb)[:, None]), axis=1).sum(axis=1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        jaro = np.where(common > 0, (common / la + common / lb + 1) / 3, 0.0)
+    low = low[jaro + PREFIX_WEIGHT * prefix * (1 - jaro) >= threshold[low] - 1e-9]
+    string = np.zeros(len(left))
+    string[low] = jaro_winkler_pairs([left_texts[x] for x in left_code[low]], [right_texts[x] for x in right_code[low]])
+    return token, string
+
+
+def _token_bounds(spelt: Texts, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Upper bounds of the similarity of tokens, given by their numbers, from their lengths, letters and beginnings."""
+    lx, ly = spelt.lengths[x], spelt.lengths[y]
+    shape = np.broadcast_shapes(x.shape, y.shape)
+    common = np.zeros(shape, np.int16)
+    for k in range(_BINS):
+        column = spelt.counts[:, k]
+        common += np.minimum(column[x], column[y])
+    same, prefix = np.ones(shape, bool), np.zeros(shape, np.int8)
+    shorter = np.minimum(lx, ly)
+    for k in range(min(PREFIX_LETTERS, spelt.codes.shape[1])):
+        column = spelt.codes[:, k]
+        same &= (column[x] == column[y]) & (k < shorter)
+        prefix += same
+    jaro = np.where(common > 0, (common / lx + common / ly + 1) / 3, 0.0)
+    most = jaro + PREFIX_WEIGHT * prefix * (1 - jaro)
+    # one may begin with the other
+    begins = (prefix >= np.minimum(shorter, PREFIX_LETTERS)) & (common >= shorter)
+    return np.where(x == y, 1.0, np.where(begins, np.maximum(most, PREFIX_SCORE), most))
+
+
+def _groups(values: np.ndarray) -> list[np.ndarray]:
+    order = np.argsort(values, kind="stable")
+    return np.split(order, np.flatnonzero(np.diff(values[order])) + 1) if len(order) else []

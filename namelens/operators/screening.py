@@ -10,15 +10,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from namelens.functions import normalize as N
-from namelens.functions.similarity import UNMATCHED_COST, jaro_winkler_pairs, token_match_pairs
+from namelens.functions.similarity import UNMATCHED_COST, jaro_winkler_pairs, scored_pairs, token_match_pairs
 from namelens.operators.blocking import asks_for, candidates
 from namelens.schema import ALIAS_SCORE, DEFAULT_THRESHOLD, EXACT_SCORE, EXPLAIN, INITIALS_SCORE, validate_threshold
+from namelens.session import cut_lineage
 
 #: Order of the kinds of match, best first.
 _SURE, _FUZZY, _INITIAL = 0, 1, 2
@@ -50,6 +52,7 @@ def prepare_watchlist(people: DataFrame) -> DataFrame:
         "nationality",
         "list_type",
         "variants",
+        _shapes(F.col("variants"), True).alias("shapes"),
         N.prefix_keys(F.col("variants")).alias("keys"),
         N.initials(F.col("name")).alias("initials"),
         N.base_text(N.folded(N.expanded_name(F.col("name")))).alias("expanded"),
@@ -57,26 +60,24 @@ def prepare_watchlist(people: DataFrame) -> DataFrame:
 
 
 def _queries(asked: DataFrame) -> DataFrame:
-    """(qid, name, threshold, lists, base, variants, keys) of what is asked for."""
+    """(qid, threshold, lists, base, shapes, keys) of what is asked for."""
     spelt = N.with_variants(asked, "name", "variants", query=True)
-    return spelt.select("qid", "name", "threshold", "lists", F.get("variants", F.lit(0))["text"].alias("base"), "variants", N.prefix_keys(F.col("variants")).alias("keys"))
+    return spelt.select("qid", "threshold", "lists", F.get("variants", F.lit(0))["text"].alias("base"), _shapes(F.col("variants"), False).alias("shapes"), N.prefix_keys(F.col("variants")).alias("keys"))
 
 
-_VERDICT = T.StructType([T.StructField("token", T.DoubleType()), T.StructField("string", T.DoubleType())])
+_VERDICT = T.StructType([T.StructField(c, T.DoubleType()) for c in ("token", "string", "initial")])
 
 
 @F.pandas_udf(_VERDICT)
-def _compared(left: pd.Series, right: pd.Series, threshold: pd.Series) -> pd.DataFrame:
-    """Token score, and where that is under the threshold the string score, of each pair of texts."""
-    pairs = pd.MultiIndex.from_arrays([left, right])
-    codes, unique = pairs.factorize()
-    a, b = [x for x, _ in unique], [y for _, y in unique]
-    token = token_match_pairs([tuple(x.split()) for x in a], [tuple(y.split()) for y in b])[codes]
-    low = token < threshold.to_numpy()
-    string = jaro_winkler_pairs(left[low].tolist(), right[low].tolist()) if low.any() else []
-    out = pd.DataFrame({"token": token, "string": 0.0})
-    out.loc[low, "string"] = string
-    return out
+def _compared(left: pd.Series, right: pd.Series, threshold: pd.Series, initials: pd.Series, expanded: pd.Series) -> pd.DataFrame:
+    """Token score, string score and, where initials are given and fit, that of the name expanded from them."""
+    token, string = scored_pairs(left.to_numpy(object), right.to_numpy(object), threshold.to_numpy())
+    initial = np.zeros(len(left))
+    asked = np.flatnonzero(initials.notna())
+    if len(asked):
+        asked = asked[jaro_winkler_pairs(left.iloc[asked].tolist(), initials.iloc[asked].tolist()) >= INITIALS_SCORE]
+        initial[asked] = jaro_winkler_pairs(left.iloc[asked].tolist(), expanded.iloc[asked].tolist())
+    return pd.DataFrame({"token": token, "string": string, "initial": initial})
 
 
 @F.pandas_udf(T.DoubleType())
@@ -125,74 +126,65 @@ def may_reach(threshold: Column, q, e) -> Column:
     return (token >= threshold - 1e-9) | (string >= threshold - 1e-9)
 
 
-def _shape(v: Column) -> list[Column]:
-    """What is compared of a variant."""
-    text = v["text"]
-    return [
-        v["pos"].alias("pos"),
-        text.alias("text"),
-        v["label"].alias("label"),
-        F.size(v["tokens"]).alias("tokens"),
-        F.length(text).alias("length"),
-        letter_mask(text).alias("mask"),
-        F.substring(text, 1, 4).alias("head"),
-    ]
+def _shapes(found: Column, listed: bool) -> Column:
+    """What is compared of each variant, beside its text."""
+    return F.transform(
+        found,
+        lambda v: F.struct(
+            v["pos"].alias("pos"),
+            v["text"].alias("text"),
+            v["label"].alias("label"),
+            F.size(v["tokens"]).alias("tokens"),
+            F.length(v["text"]).alias("length"),
+            letter_mask(v["text"]).alias("mask"),
+            F.substring(v["text"], 1, 4).alias("head"),
+            (v["is_alias"] if listed else F.lit(False)).alias("is_alias"),
+        ),
+    )
 
 
 def match(queries: DataFrame, watchlist: DataFrame) -> DataFrame:
     """(qid, entry, score, match_type, explain) of the pairs that match, at the threshold of each query."""
-    q_flat = queries.select("qid", "threshold", "lists", F.explode("variants").alias("v")).select("qid", "threshold", "lists", F.struct(*_shape(F.col("v"))).alias("q"))
-    e_flat = watchlist.select("entry", "list_type", F.explode("variants").alias("v")).select("entry", "list_type", F.col("v.is_alias").alias("is_alias"), F.struct(*_shape(F.col("v"))).alias("e"))
+    q_flat = queries.select("qid", "threshold", "lists", F.explode("shapes").alias("q"))
+    e_flat = watchlist.select("entry", "list_type", F.explode("shapes").alias("e"))
     translit = (F.col("q.label") == "translit") | (F.col("e.label") == "translit")
     explain = lambda method, token, string: F.struct(
         F.col("q.text").alias("input_variant"),
         F.col("e.text").alias("matched_variant"),
         method.alias("method"),
         F.col("e.label").alias("normalization"),
-        F.col("is_alias").alias("is_alias"),
+        F.col("e.is_alias").alias("is_alias"),
         translit.alias("is_translit"),
         token.alias("token_score"),
         string.alias("string_score"),
     ).cast(EXPLAIN)
     zero = F.lit(0.0)
+    is_alias = F.col("e.is_alias")
     # equal texts
     equal = q_flat.withColumn("text", F.col("q.text")).join(e_flat.withColumn("text", F.col("e.text")), "text").where(asks_for(F.col("lists"), F.col("list_type")))
-    equal = equal.where(~F.col("is_alias") | (F.col("threshold") <= ALIAS_SCORE))
-    sure = F.col("is_alias") | ~translit
-    method = F.when(F.col("is_alias"), "exact_alias").when(translit, "transliterated_exact").otherwise("exact_primary")
-    kind = F.when(F.col("is_alias"), "alias").when(translit, "fuzzy").otherwise("exact")
-    score = F.when(F.col("is_alias"), ALIAS_SCORE).otherwise(EXACT_SCORE)
-    found = equal.select("qid", "entry", F.when(sure, _SURE).otherwise(_FUZZY).alias("rung"), score.alias("score"), F.col("q.pos").alias("q_pos"), F.col("e.pos").alias("e_pos"), kind.alias("match_type"), explain(method, zero, zero).alias("explain"))
-    # similar texts of candidate pairs, primary spellings only
-    pairs = candidates(queries, watchlist)
-    q_of = queries.select("qid", "threshold", "base", F.transform("variants", lambda v: F.struct(*_shape(v))).alias("q_variants"))
-    primary = F.filter("variants", lambda v: ~v["is_alias"])
-    e_of = watchlist.select("entry", "initials", "expanded", F.transform(primary, lambda v: F.struct(*_shape(v))).alias("e_variants"))
-    wide = pairs.join(q_of, "qid").join(e_of, "entry")
-    near = wide.select("qid", "entry", "threshold", F.explode("q_variants").alias("q"), "e_variants").select("qid", "entry", "threshold", "q", F.explode("e_variants").alias("e"), F.lit(False).alias("is_alias"))
-    near = near.where((F.col("q.text") != F.col("e.text")) & may_reach(F.col("threshold"), F.col("q"), F.col("e")))
-    near = near.withColumn("s", _compared(F.col("q.text"), F.col("e.text"), F.col("threshold")))
-    by_token = (F.col("s.token") >= F.col("threshold")) & (F.col("s.token") > 0)
-    by_string = (F.col("s.string") >= F.col("threshold")) & (F.col("s.string") > 0)
-    near = near.where(by_token | by_string)
-    fuzzy = near.select(
-        "qid",
-        "entry",
-        F.lit(_FUZZY).alias("rung"),
-        F.when(by_token, F.col("s.token")).otherwise(F.col("s.string")).alias("score"),
-        F.col("q.pos").alias("q_pos"),
-        F.col("e.pos").alias("e_pos"),
-        F.lit("fuzzy").alias("match_type"),
-        explain(F.when(by_token, "token").otherwise("fuzzy"), F.when(by_token, F.col("s.token")).otherwise(zero), F.when(by_token, zero).otherwise(F.col("s.string"))).alias("explain"),
-    )
-    # names that are initials; lengths bound their similarity
-    base_length, initials_length = F.length("base"), F.length("initials")
-    short = wide.where((initials_length > 0) & (base_length <= 2 * initials_length) & (initials_length <= 2 * base_length)).select("qid", "entry", "threshold", "base", "initials", "expanded")
-    short = short.where(jaro_winkler_column("base", "initials") >= INITIALS_SCORE).withColumn("score", jaro_winkler_column("base", "expanded"))
-    spelt = short.where((F.col("score") >= F.col("threshold")) & (F.col("score") > 0)).select(
-        "qid", "entry", F.lit(_INITIAL).alias("rung"), "score", F.lit(0).alias("q_pos"), F.lit(0).alias("e_pos"), F.lit("initial").alias("match_type"), F.lit(None).cast(EXPLAIN).alias("explain")
-    )
-    every = found.unionByName(fuzzy).unionByName(spelt)
+    equal = equal.where(~is_alias | (F.col("threshold") <= ALIAS_SCORE))
+    method = F.when(is_alias, "exact_alias").when(translit, "transliterated_exact").otherwise("exact_primary")
+    kind = F.when(is_alias, "alias").when(translit, "fuzzy").otherwise("exact")
+    rung = F.when(is_alias | ~translit, _SURE).otherwise(_FUZZY)
+    score = F.when(is_alias, ALIAS_SCORE).otherwise(EXACT_SCORE)
+    found = equal.select("qid", "entry", rung.alias("rung"), score.alias("score"), F.col("q.pos").alias("q_pos"), F.col("e.pos").alias("e_pos"), kind.alias("match_type"), explain(method, zero, zero).alias("explain"))
+    # similar texts of candidate pairs, primary spellings only; with the first pair of texts goes the question of initials
+    primary = watchlist.select("entry", "initials", "expanded", F.filter("shapes", lambda v: ~v["is_alias"]).alias("e_shapes"))
+    wide = candidates(queries, watchlist).join(queries.select("qid", "threshold", F.col("shapes").alias("q_shapes")), "qid").join(primary, "entry")
+    near = wide.select("qid", "entry", "threshold", "initials", "expanded", F.explode("q_shapes").alias("q"), "e_shapes")
+    near = near.select("qid", "entry", "threshold", "initials", "expanded", "q", F.explode("e_shapes").alias("e"))
+    letters = F.length("initials")
+    asks = (F.col("q.pos") == 0) & (F.col("e.pos") == 0) & (letters > 0) & (F.col("q.length") <= 2 * letters) & (letters <= 2 * F.col("q.length"))
+    similar = (F.col("q.text") != F.col("e.text")) & may_reach(F.col("threshold"), F.col("q"), F.col("e"))
+    near = near.withColumn("asks", asks).withColumn("similar", similar).where("asks OR similar")
+    near = near.withColumn("s", _compared(F.col("q.text"), F.col("e.text"), F.col("threshold"), F.when(F.col("asks"), F.col("initials")), F.when(F.col("asks"), F.col("expanded"))))
+    reached = lambda c: (F.col(c) >= F.col("threshold")) & (F.col(c) > 0)
+    by_token, by_string = F.col("similar") & reached("s.token"), F.col("similar") & reached("s.string")
+    place = [F.col("q.pos").alias("q_pos"), F.col("e.pos").alias("e_pos")]
+    fuzzy = F.when(by_token | by_string, F.struct(F.lit(_FUZZY).alias("rung"), F.when(by_token, F.col("s.token")).otherwise(F.col("s.string")).alias("score"), *place, F.lit("fuzzy").alias("match_type"), explain(F.when(by_token, "token").otherwise("fuzzy"), F.when(by_token, F.col("s.token")).otherwise(zero), F.when(by_token, zero).otherwise(F.col("s.string"))).alias("explain")))
+    initial = F.when(F.col("asks") & reached("s.initial"), F.struct(F.lit(_INITIAL).alias("rung"), F.col("s.initial").alias("score"), *place, F.lit("initial").alias("match_type"), F.lit(None).cast(EXPLAIN).alias("explain")))
+    judged = near.select("qid", "entry", F.explode(F.array_compact(F.array(fuzzy, initial))).alias("m")).select("qid", "entry", "m.*")
+    every = found.unionByName(judged)
     # equal texts first; then the better score, the first variant, and initials only if strictly better
     best = Window.partitionBy("qid", "entry").orderBy(F.col("rung") != _SURE, F.desc("score"), "rung", "q_pos", "e_pos")
     return every.withColumn("r", F.row_number().over(best)).where("r = 1").select("qid", "entry", "score", "match_type", "explain")
@@ -222,7 +214,7 @@ def screen(inputs: DataFrame, watchlist: DataFrame, threshold: float | None = No
     asked = asked.where((F.col("threshold") > 0) & (F.col("threshold") <= 1) & ~F.isnan("threshold"))
     asked = asked.withColumn("qid", F.concat_ws("\u0001", F.hex(F.xxhash64("name", "threshold", "lists")), F.hex(F.xxhash64(F.lit(1), "name", "threshold", "lists"))))
     once = asked.groupBy("qid").agg(F.min("name").alias("name"), F.min("threshold").alias("threshold"), F.min("lists").alias("lists"))
-    matches = match(_queries(once), watchlist)
+    matches = match(cut_lineage(_queries(once)), watchlist)
     people = watchlist.select("entry", F.col("id").alias("person_id"), "name", F.col("list_type").alias("list"), "nationality", "copies")
     found = matches.join(people, "entry").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     own = Window.partitionBy("qid").orderBy(F.desc("score"), "person_id", "list", "entry", "copy")
