@@ -26,6 +26,13 @@ from namelens.session import cut_lineage
 _SURE, _FUZZY, _INITIAL = 0, 1, 2
 
 
+def _spread(df: DataFrame, key: str) -> DataFrame:
+    """``df`` in enough parts for all cores: few bytes make much work here, which sizes alone do not tell."""
+    session = df.sparkSession
+    parts = max(3 * session.sparkContext.defaultParallelism, int(session.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(parts, key)
+
+
 def prepare_watchlist(people: DataFrame) -> DataFrame:
     """The entries with their variants, keys and initials; worth keeping while a list is in use.
 
@@ -43,7 +50,7 @@ def prepare_watchlist(people: DataFrame) -> DataFrame:
     order = F.array_sort(F.collect_list(F.struct("alias", "v.pos", "v.text", "v.tokens", "v.label")))
     found = spelt.groupBy("entry").agg(order.alias("all"))
     numbered = F.transform("all", lambda x, i: F.struct(i.alias("pos"), x["text"].alias("text"), x["tokens"].alias("tokens"), x["label"].alias("label"), (x["alias"] > 0).alias("is_alias")))
-    full = rows.join(found, "entry").withColumn("variants", numbered).drop("all")
+    full = _spread(rows.join(found, "entry").withColumn("variants", numbered).drop("all"), "entry")
     return full.select(
         "entry",
         "copies",
@@ -214,7 +221,7 @@ def screen(inputs: DataFrame, watchlist: DataFrame, threshold: float | None = No
     asked = asked.where((F.col("threshold") > 0) & (F.col("threshold") <= 1) & ~F.isnan("threshold"))
     asked = asked.withColumn("qid", F.concat_ws("\u0001", F.hex(F.xxhash64("name", "threshold", "lists")), F.hex(F.xxhash64(F.lit(1), "name", "threshold", "lists"))))
     once = asked.groupBy("qid").agg(F.min("name").alias("name"), F.min("threshold").alias("threshold"), F.min("lists").alias("lists"))
-    matches = match(cut_lineage(_queries(once)), watchlist)
+    matches = match(cut_lineage(_queries(_spread(once, "qid"))), watchlist)
     people = watchlist.select("entry", F.col("id").alias("person_id"), "name", F.col("list_type").alias("list"), "nationality", "copies")
     found = matches.join(people, "entry").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     own = Window.partitionBy("qid").orderBy(F.desc("score"), "person_id", "list", "entry", "copy")
