@@ -212,7 +212,8 @@ def scored_pairs(left: np.ndarray, right: np.ndarray, threshold: np.ndarray) ->
     prefix = np.cumprod((a.codes[i, :k] == b.codes[j, :k]) & (np.arange(k) < np.minimum(la, lb)[:, None]), axis=1).sum(axis=1)
     with np.errstate(divide="ignore", invalid="ignore"):
         jaro = np.where(common > 0, (common / la + common / lb + 1) / 3, 0.0)
-    low = low[jaro + PREFIX_WEIGHT * prefix * (1 - jaro) >= threshold[low] - 1e-9]
+    most = np.where((la == 0) & (lb == 0), 1.0, jaro + PREFIX_WEIGHT * prefix * (1 - jaro))
+    low = low[most >= threshold[low] - 1e-9]
     string = np.zeros(len(left))
     string[low] = jaro_winkler_pairs([left_texts[x] for x in left_code[low]], [right_texts[x] for x in right_code[low]])
     return token, string
