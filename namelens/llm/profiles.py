@@ -81,8 +81,8 @@ def profiles(people: DataFrame) -> DataFrame:
 
 
 def copies(rows: DataFrame) -> DataFrame:
-    """The profiles with ``pid``, the smallest id of those that are alike but for id and list."""
-    alike = ["person", "spellings", "dob", "country", "programs"]
+    """The profiles with ``pid``, the smallest id of those that are alike but for id and list; one without names is alone."""
+    alike = ["person", "spellings", "dob", "country", "programs", F.when(F.size("spellings") == 0, F.col("id"))]
     heads = rows.groupBy(F.xxhash64(*alike).alias("print"), F.xxhash64(F.lit(1), *alike).alias("print_2")).agg(F.min("id").alias("pid"))
     return rows.select("*", F.xxhash64(*alike).alias("print"), F.xxhash64(F.lit(1), *alike).alias("print_2")).join(heads, ["print", "print_2"]).drop("print", "print_2")
 
@@ -166,9 +166,7 @@ def same_bearer(q: float, conflict: float, dates: list[str], same_programs: bool
         return when == "equal" and conflict == 0 and q >= NAMES_AGREE_WELL
     if when == "equal":
         return q >= 0.75 and conflict <= CONFLICT_OUTWEIGHED
-    if when == "near":
-        return q >= NAMES_AGREE_WELL and conflict <= 1 or q >= NAMES_AGREE and conflict == 0
-    return when == "missing" and q >= NAMES_AGREE and conflict == 0
+    return when != "far" and q >= NAMES_AGREE and conflict == 0
 
 
 def broadcast_words(df: DataFrame, words: frozenset[str]) -> Broadcast:
