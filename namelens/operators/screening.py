@@ -184,13 +184,25 @@ def match(queries: DataFrame, watchlist: DataFrame) -> DataFrame:
     asks = (F.col("q.pos") == 0) & (F.col("e.pos") == 0) & (letters > 0) & (F.col("q.length") <= 2 * letters) & (letters <= 2 * F.col("q.length"))
     similar = (F.col("q.text") != F.col("e.text")) & may_reach(F.col("threshold"), F.col("q"), F.col("e"))
     near = near.withColumn("asks", asks).withColumn("similar", similar).where("asks OR similar")
-    near = near.withColumn("s", _compared(F.col("q.text"), F.col("e.text"), F.col("threshold"), F.when(F.col("asks"), F.col("initials")), F.when(F.col("asks"), F.col("expanded"))))
+    # only what is asked for goes along with the texts: rows wait beside the Arrow batches
+    slim = near.select(
+        "qid", "entry", "threshold", "similar", F.col("q.pos").alias("q_pos"), F.col("e.pos").alias("e_pos"), F.col("q.text").alias("q_text"), F.col("e.text").alias("e_text"),
+        F.when(F.col("asks"), F.col("initials")).alias("initials"), F.when(F.col("asks"), F.col("expanded")).alias("expanded"),
+    ).withColumn("s", _compared("q_text", "e_text", "threshold", "initials", "expanded"))
     reached = lambda c: (F.col(c) >= F.col("threshold")) & (F.col(c) > 0)
     by_token, by_string = F.col("similar") & reached("s.token"), F.col("similar") & reached("s.string")
-    place = [F.col("q.pos").alias("q_pos"), F.col("e.pos").alias("e_pos")]
-    fuzzy = F.when(by_token | by_string, F.struct(F.lit(_FUZZY).alias("rung"), F.when(by_token, F.col("s.token")).otherwise(F.col("s.string")).alias("score"), *place, F.lit("fuzzy").alias("match_type"), explain(F.when(by_token, "token").otherwise("fuzzy"), F.when(by_token, F.col("s.token")).otherwise(zero), F.when(by_token, zero).otherwise(F.col("s.string"))).alias("explain")))
-    initial = F.when(F.col("asks") & reached("s.initial"), F.struct(F.lit(_INITIAL).alias("rung"), F.col("s.initial").alias("score"), *place, F.lit("initial").alias("match_type"), F.lit(None).cast(EXPLAIN).alias("explain")))
-    judged = near.select("qid", "entry", F.explode(F.array_compact(F.array(fuzzy, initial))).alias("m")).select("qid", "entry", "m.*")
+    place = [F.col("q_pos"), F.col("e_pos")]
+    scored = F.when(by_token | by_string, F.struct(F.lit(_FUZZY).alias("rung"), F.when(by_token, F.col("s.token")).otherwise(F.col("s.string")).alias("score"), *place, by_token.alias("by_token")))
+    initial = F.when(F.col("initials").isNotNull() & reached("s.initial"), F.struct(F.lit(_INITIAL).alias("rung"), F.col("s.initial").alias("score"), *place, F.lit(False).alias("by_token")))
+    judged = slim.select("qid", "entry", F.explode(F.array_compact(F.array(scored, initial))).alias("m")).select("qid", "entry", "m.*")
+    # the best of each pair, and then the texts that explain it
+    first = Window.partitionBy("qid", "entry").orderBy(F.desc("score"), "rung", "q_pos", "e_pos")
+    judged = judged.withColumn("r", F.row_number().over(first)).where("r = 1").drop("r")
+    told = judged.join(queries.select("qid", "shapes"), "qid").withColumn("q", F.get("shapes", F.col("q_pos"))).drop("shapes")
+    told = told.join(watchlist.select("entry", "shapes"), "entry").withColumn("e", F.get("shapes", F.col("e_pos"))).drop("shapes")
+    by_token, fuzzy = F.col("by_token"), F.col("rung") == _FUZZY
+    why = explain(F.when(by_token, "token").otherwise("fuzzy"), F.when(by_token, F.col("score")).otherwise(zero), F.when(by_token, zero).otherwise(F.col("score")))
+    judged = told.select("qid", "entry", "rung", "score", "q_pos", "e_pos", F.when(fuzzy, "fuzzy").otherwise("initial").alias("match_type"), F.when(fuzzy, why).alias("explain"))
     every = found.unionByName(judged)
     # equal texts first; then the better score, the first variant, and initials only if strictly better
     best = Window.partitionBy("qid", "entry").orderBy(F.col("rung") != _SURE, F.desc("score"), "rung", "q_pos", "e_pos")
