@@ -197,13 +197,18 @@ def scored_pairs(left: np.ndarray, right: np.ndarray, threshold: np.ndarray) ->
             x, y = a.tokens[left_code[part], :nq, None], b.tokens[right_code[part], None, :nt]
             most = _token_bounds(spelt, x, y)
             most[:, -1, -1] = np.minimum(most[:, -1, -1] + LAST_TOKEN_BOOST, 1.0)
-            reach = np.minimum(most.max(axis=2).sum(axis=1), most.max(axis=1).sum(axis=1)) / max(nq, nt) - UNMATCHED_COST * abs(nq - nt)
-            some = reach >= threshold[part] - 1e-9
+            best_of = most.max(axis=2)
+            total = np.minimum(best_of.sum(axis=1), most.max(axis=1).sum(axis=1))
+            wanted = (threshold[part] + UNMATCHED_COST * abs(nq - nt)) * max(nq, nt) - 1e-9
+            some = total >= wanted
             if some.any():
+                # a pair of tokens matters only if the others' best leave it enough to add; where those that
+                # matter reach the threshold, all are computed
+                alone = wanted[some, None] - (best_of[some].sum(axis=1)[:, None] - best_of[some])
                 ids = (x * len(words) + y)[some]
-                pairs, back = np.unique(ids, return_inverse=True)
-                values = token_pairs([words[i // len(words)] for i in pairs], [words[i % len(words)] for i in pairs])
-                token[part[some]] = _greedy(values[back].reshape(ids.shape))
+                first = _greedy(_exact(ids, most[some] >= alone[:, :, None], words))
+                near = first >= threshold[part[some]] - 1e-9
+                token[part[some][near]] = _greedy(_exact(ids[near], None, words))
     low = np.flatnonzero(token < threshold)
     i, j = left_code[low], right_code[low]
     la, lb = a.lengths[i], b.lengths[j]
@@ -219,6 +224,18 @@ def scored_pairs(left: np.ndarray, right: np.ndarray, threshold: np.ndarray) ->
     return token, string
 
 
+def _exact(ids: np.ndarray, where: np.ndarray | None, words: list[str]) -> np.ndarray:
+    """The similarity of pairs of tokens, given by numbers; 0 but at ``where``."""
+    asked = ids.ravel() if where is None else ids[where]
+    pairs, back = np.unique(asked, return_inverse=True)
+    values = token_pairs([words[i // len(words)] for i in pairs], [words[i % len(words)] for i in pairs])[back]
+    if where is None:
+        return values.reshape(ids.shape)
+    out = np.zeros(ids.shape)
+    out[where] = values
+    return out
+
+
 def _token_bounds(spelt: Texts, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Upper bounds of the similarity of tokens, given by their numbers, from their lengths, letters and beginnings."""
     lx, ly = spelt.lengths[x], spelt.lengths[y]
