@@ -3,7 +3,8 @@
 Two kinds of evidence are joined.  *Lengths*: each text is measured as characters, UTF-8 bytes, UTF-16
 units, with entities escaped, as a JSON string and with CRLF newlines, with and without a mark of
 omission at its end; a source whose lengths pile up at the top of one of these measures, where those
-of an unlimited source thin out, has a storage limit there.  *Endings*: a text's last line is whole if
+of an unlimited source thin out, has a storage limit there.  A text that ends just at its source's limit is whole only if it ends a sentence, or in a sign
+after which nothing is written.  *Endings*: any other text's last line is whole if
 it ends a sentence, or if it is a kind of line (heading, link, footer, caption, price) that also
 occurs within documents, where nothing can have cut it.  The lines within all documents are counted
 by their shape for that.
@@ -45,6 +46,8 @@ LIMIT_TEXTS = 5
 LIMIT_SHARE = 0.01
 #: ... and at most this many times as many are longer.
 LONGER_SHARE = 0.2
+#: The end of a line that is no fragment, even where the text had to stop.
+CLOSED = r"\p{N}\s?(?:[€£¥]|EUR|USD)$"
 #: Documents in which a kind of line must occur within the text to count as whole.
 WHOLE_LINE_DOCS = 2
 #: Documents that must end in a kind of line for it to count as whole if no sentence begins like it.
@@ -63,7 +66,8 @@ def last_line(text: Column) -> Column:
 
 def without_mark(text: Column) -> Column:
     """A text without the mark of omission at its end and the blanks before it."""
-    return F.regexp_replace(text, OMISSION, "")
+    ends = F.right(text, F.lit(5)).rlike(r"\.{3}|[\])…¦;]")  # any mark ends so, but for a last newline
+    return F.when(ends, F.regexp_replace(text, OMISSION, "")).otherwise(text)
 
 
 def line_shape(line: Column) -> Column:
@@ -76,9 +80,10 @@ def line_shape(line: Column) -> Column:
 
 def measures(text: Column) -> dict[str, Column]:
     """The lengths of a text under the encodings and escapings in which limits are set."""
-    count = lambda chars: F.length(text) - F.length(F.translate(text, chars, ""))
-    length, lines = F.length(text), F.length(text) - F.length(F.translate(text, "\n", ""))
-    beyond = F.length(F.regexp_replace(text, r"[^\x{10000}-\x{10FFFF}]", ""))
+    length = F.length(text)
+    count = lambda chars: sum((length - F.length(F.replace(text, F.lit(c), F.lit(""))) for c in chars), F.lit(0))
+    lines = count("\n")
+    beyond = length - F.length(F.regexp_replace(text, r"[\x{10000}-\x{10FFFF}]+", ""))
     utf8 = F.octet_length(text) - 2 * count("\ufffd")  # a cut character counts with the byte that is left
     return {
         "characters": length,
@@ -86,7 +91,7 @@ def measures(text: Column) -> dict[str, Column]:
         "utf16_units": length + beyond,
         "html_escaped": length + 4 * count("&") + 3 * count("<>") + 5 * count('"') + 4 * count("'"),
         "json_escaped": length + count('\\"\n\r\t'),
-        "json_ascii": length + count('\\"\n\r\t') + 5 * (length - F.length(F.regexp_replace(text, r"[^\x00-\x7f]", ""))) + 6 * beyond,
+        "json_ascii": length + count('\\"\n\r\t') + 5 * (length - F.length(F.regexp_replace(text, r"[^\x00-\x7f]+", ""))) + 6 * beyond,
         "crlf": length + lines - (length - F.length(F.replace(text, F.lit("\r\n"), F.lit("\n")))),
     }
 
@@ -114,6 +119,14 @@ def source_limits(docs: DataFrame) -> DataFrame:
     return limits.withColumn("r", first).where("r = 1").select("source", "measure", "marked", "length", "texts", "longer")
 
 
+def stops_at(text: Column) -> Column:
+    """Whether a text is just as long as the storage limit in the columns measure, marked and length."""
+    own = lambda t: F.coalesce(*[F.when(F.col("measure") == k, m.cast("long")) for k, m in measures(t).items()])
+    bare = without_mark(text)
+    size = F.when(~F.col("marked"), own(text)).when(F.length(bare) < F.length(text), own(bare))
+    return F.coalesce(F.when(F.col("measure").isNotNull(), size == F.col("length")), F.lit(False))
+
+
 def _lines(text: Column) -> Column:
     return F.filter(F.split(text, r"[\n\r]+"), lambda x: x.rlike(r"(?U)\S"))
 
@@ -199,16 +212,20 @@ def endings(docs: DataFrame) -> DataFrame:
     ``ending`` is ``sentence``, ``line`` (whole without ending a sentence), ``marked`` (an omission mark
     after a cut) or ``open`` (the line breaks off).  A last line that ends no sentence is whole if lines
     of its shape stand within other documents; or if they end others too while no sentence begins
-    like that and goes on; or if it is a price, or has the marks of a menu, footer or signature.
+    like that and goes on; or if it is a price, or has the marks of a menu, footer or signature.  None
+    of these makes a line whole at the source's storage limit, where a fragment looks the same.  A limit
+    counts if so many distinct texts as make one end there: copies of one long text are none.
     """
-    line = last_line(F.col("text"))
-    rows = docs.where(F.col("text").isNotNull() & F.col("text").rlike(r"(?U)\S")).select("doc_id", F.coalesce("source", F.lit("")).alias("source"), line.alias("line"))
+    limits = cut_lineage(source_limits(docs)).select("source", "measure", "marked", "length")
+    text = docs.where(F.col("text").isNotNull() & F.col("text").rlike(r"(?U)\S")).select("doc_id", F.coalesce("source", F.lit("")).alias("source"), "text")
+    rows = text.join(F.broadcast(limits), "source", "left").select("doc_id", "source", last_line(F.col("text")).alias("line"), F.xxhash64("text").alias("print"), stops_at(F.col("text")).alias("at"))
     bare = F.trim(without_mark(F.col("line")))
     number = F.col("bare").rlike(r"\p{N}\.$")  # a number cut before its decimals, unless such lines are common
     rows = rows.withColumn("bare", bare).withColumn("sentence", (F.col("bare").rlike(SENTENCE_END) & ~number) | (F.col("bare") == ""))
     asked = ~F.col("sentence") | (F.length("bare") < F.length("line"))
     rows = rows.withColumn("shape", F.when(asked, F.xxhash64(line_shape(F.col("line"))))).withColumn("opening", F.when(asked, line_shape(F.col("bare"))))
     rows = cut_lineage(rows)
+    limited = rows.where("at").groupBy("source").agg(F.countDistinct("print").alias("n")).where(F.col("n") >= LIMIT_TEXTS).select("source", F.lit(True).alias("limited"))
     last = rows.where("shape IS NOT NULL").groupBy("shape").agg(F.count(F.lit(1)).alias("ends"), F.min("opening").alias("opening_text"))
     kinds = last.join(whole_lines(docs), "shape", "left")
     kinds = cut_lineage(kinds.where((F.coalesce("docs", F.lit(0)) >= WHOLE_LINE_DOCS) | (F.col("ends") >= WHOLE_LAST_DOCS)))
@@ -218,14 +235,16 @@ def endings(docs: DataFrame) -> DataFrame:
     marked = F.length("bare") < F.length("line")
     broken = F.col("bare").rlike(SENTENCE_BREAK)  # a line with a sentence before the open one is running text
     listed = (F.col("bare").rlike(r"^[©—–•*|]|^\(c\)| [|·•] ") | F.col("line").rlike(PRICE)) & ~broken
+    stopped = F.col("at") & F.col("limited").isNotNull() & ~F.col("sentence") & ~F.col("line").rlike(CLOSED)
     ending = (
-        F.when(F.coalesce(F.col("inner") | F.col("final"), F.lit(False)), "line")
+        F.when(stopped, F.when(marked, "marked").otherwise("open"))
+        .when(F.coalesce(F.col("inner") | F.col("final"), F.lit(False)), "line")
         .when(marked & ~F.col("sentence"), "marked")
         .when(F.col("sentence"), "sentence")
         .when(listed, "line")
         .otherwise("open")
     )
-    return rows.join(known, "shape", "left").select("doc_id", "source", ending.alias("ending"), "line").withColumn("cut", F.col("ending").isin("marked", "open"))
+    return rows.join(known, "shape", "left").join(F.broadcast(limited), "source", "left").select("doc_id", "source", ending.alias("ending"), "line").withColumn("cut", F.col("ending").isin("marked", "open"))
 
 
 def cut_texts(docs: DataFrame) -> DataFrame:

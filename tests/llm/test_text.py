@@ -139,3 +139,14 @@ def test_storage_limits(spark):
     got = {r.source: (r.measure, r.marked, r.length) for r in truncation.source_limits(docs).collect()}
     assert "free" not in got and got["chars"][:2] == ("characters", False) and got["chars"][2] == 200
     assert got["bytes"][0] == "utf8_bytes" and got["marked"][1] is True
+
+
+def test_a_text_that_stops_at_its_limit_is_cut(spark):
+    line = "\nDer Rad"  # of the same kind as a line within others
+    filler = lambda n, i: (f"{i:02}" + "abc def ghi " * 20)[: n - len(line)]
+    rows = [(i, filler(100, i) + line, "limited") for i in range(6)] + [(10, filler(60, 10) + line, "limited")]
+    rows += [(20 + i, f"It rained.{line}{i}\nIt was late on day {i}.", "free") for i in range(4)]
+    rows += [(30, filler(100, 30)[:81] + ". It is all over." + " " * 2, "limited")]
+    rows += [(40 + i, "The same long text in every copy of it." + line, "mirrors") for i in range(6)]  # copies make no limit
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert sorted(r.doc_id for r in truncation.cut_texts(docs).collect()) == list(range(6))
