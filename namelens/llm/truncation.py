@@ -27,6 +27,8 @@ OMISSION = r"(?:\s*(?:\[\s*(?:\.\.\.|…)\s*\]|\(\s*(?:\.\.\.|…)\s*\)|\.{3,}|
 SENTENCE_END = r"""[.!?。！？؟۔।][\s"'»”“’)\]\u203a]*$"""
 #: Borders between a sentence and the next one on a line.
 SENTENCE_BREAK = r"""[.!?。！？؟۔।]["'»”“’)\]]*\s+(?=\S)"""
+#: A sentence of two words or more that a line has before other words: an abbreviation before a number is none.
+RUNNING = r"""\S\s+\S*(?:\p{Ll}{2}[.!?؟۔।]|[。！？])["'»”“’)\]]*\s*(?<=[\s。！？])["'“„«(]*\p{L}"""
 
 #: Blanks cut off around lines.
 BLANKS = " \t\r\n\x0b\x0c\u0085\u00a0\u2002\u2003\u2009\u200b\u3000\ufeff"
@@ -48,13 +50,12 @@ LIMIT_SHARE = 0.01
 LONGER_SHARE = 0.2
 #: The end of a line that is no fragment, even where the text had to stop.
 CLOSED = r"\p{N}\s?(?:[€£¥]|EUR|USD)$"
-#: Documents in which a kind of line must occur within the text to count as whole.
+#: Distinct texts within which a kind of line must occur to count as whole: more than one.
 WHOLE_LINE_DOCS = 2
-#: Documents that must end in a kind of line for it to count as whole if no sentence begins like it.
+#: Distinct texts that must end in a kind of line for it to count as whole if no sentence begins like it.
 WHOLE_LAST_DOCS = 3
-#: A line that could open a sentence is compared with so many of its first words at most; longer ones are
-#: never whole for that reason alone.
-OPENING_WORDS = 12
+#: Words of a sentence that are masked first; the others only if an opening goes on that far.
+FIRST_WORDS = 14
 #: The ends of a line with a price.
 PRICE = r"(?:(?:[€$£¥]|â‚¬)\s?\p{N}+(?:[.,]\p{N}+)*|\p{N}+(?:[.,]\p{N}+)*\s?(?:[€$£¥]|kr|Fr|EUR|USD|руб))\.?$"
 
@@ -136,11 +137,14 @@ def _unended(line: Column) -> Column:
 
 
 def whole_lines(docs: DataFrame) -> DataFrame:
-    """(shape, docs) of the lines within documents, all but the last one, that end no sentence."""
+    """(shape, docs) of the lines within documents, all but the last one, that end no sentence.
+
+    ``docs`` is 1, or 2 if distinct texts have such a line; copies of a text count once.
+    """
     lines = _lines(F.col("text"))
-    inner = docs.where("text IS NOT NULL").select(F.slice(lines, F.lit(1), F.greatest(F.size(lines) - 1, F.lit(0))).alias("lines"))
-    shapes = inner.select(F.explode(F.array_distinct(F.transform(F.filter("lines", _unended), lambda x: F.xxhash64(line_shape(x))))).alias("shape"))
-    return shapes.groupBy("shape").agg(F.count(F.lit(1)).alias("docs"))
+    inner = docs.where("text IS NOT NULL").select(F.xxhash64("text").alias("print"), F.slice(lines, F.lit(1), F.greatest(F.size(lines) - 1, F.lit(0))).alias("lines"))
+    shapes = inner.select("print", F.explode(F.array_distinct(F.transform(F.filter("lines", _unended), lambda x: F.xxhash64(line_shape(x))))).alias("shape"))
+    return shapes.groupBy("shape").agg(F.when(F.min("print") != F.max("print"), 2).otherwise(1).alias("docs"))
 
 
 def continued(docs: DataFrame, shapes: DataFrame) -> DataFrame:
@@ -169,10 +173,12 @@ def _continued(docs: DataFrame, wanted: list[str]) -> DataFrame:
         breaks, ends, omits = (regex.compile(p) for p in (SENTENCE_BREAK, SENTENCE_END, OMISSION))
         by_head: dict[str, list[tuple[str, str]]] = {}  # all words but the last -> (the last, the whole)
         heads: set[str] = set()  # first words that any opening has
+        parts: set[int] = {hash("")}  # hashes of the first words, of any number, after which any opening goes on
         for opening in shared.value:
             head, _, last = opening.rpartition(" ")
             by_head.setdefault(head, []).append((last, opening))
             heads.add(opening.partition(" ")[0])
+            parts.update(hash(opening[:i]) for i, c in enumerate(opening) if c == " ")
         single = "" in by_head
         seen: set[str] = set()
         for batch in batches:
@@ -189,18 +195,27 @@ def _continued(docs: DataFrame, wanted: list[str]) -> DataFrame:
                         sentence = line[a:b]
                         if not single and sentence.split(maxsplit=1)[0] not in heads and not sentence[:1].isdigit():
                             continue
-                        words = sentence.split(maxsplit=OPENING_WORDS + 2)
-                        shape = " ".join(words[: OPENING_WORDS + 2])
-                        for mask, by in masks:
-                            shape = mask.sub(by, shape)
-                        words = shape.split(" ")
-                        head = ""
-                        for k, word in enumerate(words[:OPENING_WORDS]):
-                            for last, opening in by_head.get(head, ()):
-                                if opening not in seen and word.startswith(last) and (word != last or k + 1 < len(words)):
-                                    seen.add(opening)
-                                    found.add(opening)
-                            head = f"{head} {word}" if k else word
+                        words = sentence.split(maxsplit=FIRST_WORDS)
+                        for most in (FIRST_WORDS, len(sentence)) if len(words) > FIRST_WORDS else (FIRST_WORDS,):
+                            part = len(words) > FIRST_WORDS and most == FIRST_WORDS
+                            shape = " ".join(words[:FIRST_WORDS] if part else sentence.split())
+                            for mask, by in masks:
+                                shape = mask.sub(by, shape)
+                            masked = shape.split(" ")
+                            if part:
+                                masked.pop()  # what follows it may change it
+                            head = ""
+                            for k, word in enumerate(masked):
+                                for last, opening in by_head.get(head, ()):
+                                    if opening not in seen and word.startswith(last) and (word != last or part or k + 1 < len(masked)):
+                                        seen.add(opening)
+                                        found.add(opening)
+                                head = f"{head} {word}" if k else word
+                                if hash(head) not in parts:
+                                    break
+                            else:
+                                continue
+                            break
             yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.string())], names=["opening_text"])
 
     return docs.where("text IS NOT NULL").select("text").mapInArrow(mapped, "opening_text string").distinct()
@@ -226,7 +241,9 @@ def endings(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("shape", F.when(asked, F.xxhash64(line_shape(F.col("line"))))).withColumn("opening", F.when(asked, line_shape(F.col("bare"))))
     rows = cut_lineage(rows)
     limited = rows.where("at").groupBy("source").agg(F.countDistinct("print").alias("n")).where(F.col("n") >= LIMIT_TEXTS).select("source", F.lit(True).alias("limited"))
-    last = rows.where("shape IS NOT NULL").groupBy("shape").agg(F.count(F.lit(1)).alias("ends"), F.min("opening").alias("opening_text"))
+    running = F.col("bare").rlike(RUNNING)  # a line with a sentence before the open one is running text, however often it occurs
+    own = rows.where("shape IS NOT NULL").groupBy("shape", "print").agg(F.min("opening").alias("opening"), F.max(running).alias("running"))
+    last = own.groupBy("shape").agg(F.count_if(~F.col("running")).alias("ends"), F.min("opening").alias("opening_text"))
     kinds = last.join(whole_lines(docs), "shape", "left")
     kinds = cut_lineage(kinds.where((F.coalesce("docs", F.lit(0)) >= WHOLE_LINE_DOCS) | (F.col("ends") >= WHOLE_LAST_DOCS)))
     doubtful = kinds.where(F.coalesce("docs", F.lit(0)) < WHOLE_LINE_DOCS)

@@ -150,3 +150,14 @@ def test_a_text_that_stops_at_its_limit_is_cut(spark):
     rows += [(40 + i, "The same long text in every copy of it." + line, "mirrors") for i in range(6)]  # copies make no limit
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     assert sorted(r.doc_id for r in truncation.cut_texts(docs).collect()) == list(range(6))
+
+
+def test_copies_long_openings_and_running_text_make_no_line_whole(spark):
+    long = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen six"
+    texts = [f"It rained on day {i}.\n{long}" for i in range(3)] + [f"It was late on day {i}.\n{long}teen seventeen." for i in range(2)]
+    texts += ["It snowed.\nthe snow lay wid"] * 4  # copies of one cut text
+    texts += [f"Day {i} ended.\nall was said. then the rain cam" for i in range(3)]  # a sentence stands before
+    texts += ["It froze.\nthe frozen riv\nIt thawed."] * 3 + ["It froze again.\nthe frozen riv"]  # within copies of one text
+    texts += [f"Number {i} is sold.\nto the whole list" for i in range(3)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("source", F.lit("s"))
+    assert sorted(r.doc_id for r in truncation.cut_texts(docs).collect()) == [0, 1, 2, *range(5, 12), 15]
