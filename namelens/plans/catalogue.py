@@ -139,6 +139,12 @@ def batch_counts(spark: SparkSession, d: str) -> DataFrame:
     return aggregates.match_counts(inputs, queries.join(entries, "text"))
 
 
+def request_counts(spark: SparkSession, d: str) -> DataFrame:
+    """How many entries of the stored watchlist each screening request matches, zeros included."""
+    requests = _requests(spark, d).distinct()  # a request that was sent twice counts once
+    return aggregates.match_counts(requests, screening.screen(requests, _watchlist(spark, d)))
+
+
 def list_counts(spark: SparkSession, d: str) -> DataFrame:
     """Entries of each list, one unknown list among them."""
     return aggregates.list_counts(stored_people(table(spark, d, "sanctions_list")), ["OFAC", "EU", "UN", "HMT", "SECO", "NONE"])
@@ -156,7 +162,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         normalize_names, variants_exploded, list_variants, tokens, initials, transliterate, jaro_winkler_pairs, token_pair_scores, candidate_pairs, screen_alias, screen_alias_gated, screen_requests,
-        batch_counts, list_counts, replace_by_list,
+        batch_counts, request_counts, list_counts, replace_by_list,
     )
 }
 

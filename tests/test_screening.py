@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import json
 import random
 
 import pytest
@@ -132,3 +133,17 @@ def test_against_plain_screening(spark):
     for i, (n, t) in enumerate(cases):
         want = [(p, round(s, 6), kind, method) for p, s, kind, method in plain.screen(n, people, t)]
         assert sorted(got.get(i, [])) == sorted(want), (n, t)
+
+
+def test_request_counts(spark, tmp_path):
+    from namelens.plans import catalogue
+
+    stored = [(i, n, json.dumps(a) if a else None, "", c, t, "[]") for i, n, a, c, t in BASIC] + [("EU-005", "Jon Smith", None, "", "US", "EU", "[]")]
+    spark.createDataFrame(stored, "id string, name string, aliases string, dob string, nationality string, list_type string, roles string").write.parquet(str(tmp_path / "sanctions_list.parquet"))
+    names = ["John Smith", "Smith John", "Viktor Ivanovich", "Mohamed Al Rashid", "J. Smith", "Francois Dupont", "Nobody Else", ""]
+    requests = [(i, n, None, None) for i, n in enumerate(names)] + [(20, "John Smith", 0.99, None), (21, "John Smith", 0.8, ["EU"])] * 2
+    spark.createDataFrame(requests, "request_id long, name string, threshold double, lists array<string>").write.parquet(str(tmp_path / "screen_request.parquet"))
+    people = [*BASIC, ("EU-005", "Jon Smith", None, "US", "EU")]
+    want = {i: len(plain.screen(n, people, 0.8 if t is None else t, lists or ())) for i, n, t, lists in requests}
+    got = {r.input_id: r["count"] for r in catalogue.request_counts(spark, str(tmp_path)).collect()}
+    assert got == want and got[0] == 2 and got[1] == 2 and got[2] >= 1 and got[6] == 0
