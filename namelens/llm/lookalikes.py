@@ -183,7 +183,7 @@ def usual_forms(people: DataFrame) -> DataFrame:
     left out; empty and blank ones have the form ''.  Rows that repeat give repeated rows.
     """
     values = name_values(people)
-    plain = F.col("value").rlike(r"^[\x20-\x7e]*$")
+    plain = F.col("value").rlike(r"^[\x20-\x7e]*\z")
     usual = values.where(plain).select("*", F.trim("value").alias("form"), F.lit(False).alias("unusual"))
     rest = values.where(~plain).withColumn("u", _usual("value")).select("id", "alias_index", "value", "u.form", "u.unusual")
     return usual.unionByName(rest)
@@ -191,5 +191,5 @@ def usual_forms(people: DataFrame) -> DataFrame:
 
 def unusual_values(people: DataFrame) -> DataFrame:
     """(id, alias_index) of each value with at least one character that is not the usual one."""
-    rest = name_values(people).where(~F.col("value").rlike(r"^[\x20-\x7e]*$"))
+    rest = name_values(people).where(~F.col("value").rlike(r"^[\x20-\x7e]*\z"))
     return rest.withColumn("u", _usual("value")).where("u.unusual").select("id", "alias_index")

@@ -161,3 +161,10 @@ def test_copies_long_openings_and_running_text_make_no_line_whole(spark):
     texts += [f"Number {i} is sold.\nto the whole list" for i in range(3)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("source", F.lit("s"))
     assert sorted(r.doc_id for r in truncation.cut_texts(docs).collect()) == [0, 1, 2, *range(5, 12), 15]
+
+
+def test_a_line_end_is_no_plain_character(spark):
+    people = spark.createDataFrame([("A", "Ann Bell\u2028", None), ("B", "Ann Bell", None), ("C", "Ann Bell\u0085", None)], "id string, name string, aliases string")
+    flagged = {i for i, n in (("A", "Ann Bell\u2028"), ("B", "Ann Bell"), ("C", "Ann Bell\u0085")) if usual_form(n)[1]}
+    assert flagged and {r.id for r in unusual_values(people).collect()} == flagged
+    assert {r.id for r in usual_forms(people).where("unusual").collect()} == flagged
