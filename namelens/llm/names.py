@@ -1,17 +1,18 @@
 """Names of persons and organisations as bags of folded words, and how well two of them agree.
 
 A spelling is folded to lower-case Latin words: characters in their usual form, Cyrillic and Greek
-transliterated, marks dropped, titles, particles and legal forms set aside.  Words agree if they are
-equal, near in edits, of the same consonants, nicknames of each other, an initial or an abbreviation.
-Two spellings agree if the words of each that have no partner are missing on one side only.
+transliterated, marks dropped, titles, particles and legal forms set aside.  Words are alike by the Dice
+coefficient of their letter pairs, as nicknames of each other, as an initial or as an abbreviation.
 """
 
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Sequence
 from functools import lru_cache
 
 import regex
+import xxhash
 
 from namelens.llm.lookalikes import usual_form
 
@@ -78,11 +79,6 @@ def sound(word: str) -> str:
     return "".join(out)
 
 
-@lru_cache(maxsize=1 << 18)
-def consonants(word: str) -> str:
-    return "".join(c for c in sound(word).replace("c", "k").replace("z", "s") if c not in "aeiou")
-
-
 def edits(a: str, b: str, most: int) -> int:
     """Insertions, deletions, substitutions and transpositions between two words; most + 1 if there are more."""
     if abs(len(a) - len(b)) > most:
@@ -118,7 +114,7 @@ _LONGEST = max(map(len, _ALIKE))
 
 
 @lru_cache(maxsize=1 << 18)
-def _nicknames(word: str) -> frozenset[int]:
+def nickname_groups(word: str) -> frozenset[int]:
     """The nickname groups of a word, one typing error allowed in longer ones."""
     found = _ALIKE.get(word, set())
     if not found and 4 <= len(word) <= _LONGEST + 1:
@@ -127,45 +123,49 @@ def _nicknames(word: str) -> frozenset[int]:
     return frozenset(found)
 
 
+#: Bits of a word's vector.
+BITS = 128
+#: Least Dice coefficient of two words that are taken for spellings of one.
+CLOSE = 0.5
+#: What an initial, a nickname and an abbreviation count beside an equal word.
+INITIAL, NICKNAME, ABBREVIATED = 0.6, 0.9, 0.85
+
+
 @lru_cache(maxsize=1 << 18)
-def _letters(word: str) -> int:
-    """The letters of a word as bits."""
+def vector(word: str) -> int:
+    """The letter pairs of a word by sound, its two ends marked, as a fixed bit vector."""
+    s = f"^{sound(word)}$"
     bits = 0
-    for c in word:
-        bits |= 1 << (ord(c) % 61)
+    for i in range(len(s) - 1):
+        bits |= 1 << (xxhash.xxh32_intdigest(s[i : i + 2]) % BITS)
     return bits
 
 
-def _within(a: str, b: str, most: int) -> int:
-    """``edits``, told apart at once where the letters differ in more than so many edits can change."""
-    if abs(len(a) - len(b)) > most or (_letters(a) ^ _letters(b)).bit_count() > 2 * most:
-        return most + 1
-    return edits(a, b, most)
+def dice(a: int, b: int) -> float:
+    """The Dice coefficient of two bit vectors."""
+    both = a.bit_count() + b.bit_count()
+    return 2 * (a & b).bit_count() / both if both else 0.0
 
 
 @lru_cache(maxsize=1 << 18)
-def word_agreement(a: str, b: str) -> float:
-    """How well two words agree: 1 equal, 0 not at all."""
+def word_likeness(a: str, b: str) -> float:
+    """How alike two words are: 1 equal, 0 not at all; else the Dice coefficient of their vectors."""
     if a == b:
         return 1.0
     if len(a) > len(b):
         a, b = b, a
     if len(a) == 1:
-        if b[0] == a or sound(b)[:1] == sound(a)[:1] or any(w[0] == a for g in _ALIKE.get(b, ()) for w in NICKNAMES[g]):
-            return 0.6
-        return 0.0
-    x, y = sound(a), sound(b)
-    if x == y:
-        return 0.97
-    if _nicknames(a) & _nicknames(b):
-        return 0.9
-    longest = max(len(x), len(y))
-    most = 1 if longest <= 4 else 2 if longest <= 8 else 3
-    if longest > 2 and (d := min(_within(x, y, most), _within(a, b, most))) <= most and (longest > 3 or x[0] == y[0]):
-        return 1 - 0.6 * d / longest
-    if min(len(consonants(a)), len(consonants(b))) >= 2 and consonants(a) == consonants(b) and len(b) <= 9:
-        return 0.8
-    return 0.0
+        return INITIAL if a in initials_of(b) or sound(a)[:1] in initials_of(b) else 0.0
+    if nickname_groups(a) & nickname_groups(b):
+        return NICKNAME
+    d = dice(vector(a), vector(b))
+    return d if d >= CLOSE else 0.0
+
+
+@lru_cache(maxsize=1 << 18)
+def initials_of(word: str) -> frozenset[str]:
+    """The letters that a word may be shortened to: its first one, as written and by sound, and those of its nicknames."""
+    return frozenset({word[:1], sound(word)[:1]} | {w[0] for g in _ALIKE.get(word, ()) for w in NICKNAMES[g]})
 
 
 @lru_cache(maxsize=1 << 16)
@@ -208,66 +208,49 @@ def words_of(value: str, person: bool) -> tuple[str, ...]:
     return person_words(value) if person else firm_words(value)
 
 
-def distinctive(word: str, common: frozenset[str]) -> bool:
-    """Whether a word tells its bearer apart: not short, and not one of the frequent ones."""
-    return len(word) >= 4 and word not in common and len(sound(word)) >= 4 and sound(word) not in common
-
-
-def spelling_agreement(a: tuple[str, ...], b: tuple[str, ...], person: bool, common: frozenset[str] = frozenset()) -> tuple[float, float]:
-    """(agreement of the words that have a partner, weighted by length; weight of words in conflict).
+def likeness(a: Sequence[str], b: Sequence[str], rare_a: Sequence[bool], rare_b: Sequence[bool], person: bool) -> float:
+    """The Dice coefficient of two spellings over their words, each word counting by its length.
 
-    Each word takes its best free partner.  Two neighbouring words may be one on the other side.
-    Words left over on one side only are missing there and cost little; left over on both sides
-    they are in conflict.  Without a pair of distinctive words, spellings agree only if all of their
-    words do.
+    Each word takes its best free partner; two neighbouring words may be one on the other side.  Words
+    left over on one side only are missing there and cost nothing; left over on both sides, those of the
+    side with fewer letters left count as unlike.  Unless a rare word of either has a partner that is
+    rare in the other, spellings are alike only if all of their words are.
     """
     pairs = []
     for i, x in enumerate(a):
         for j, y in enumerate(b):
-            s = word_agreement(x, y)
-            plain = s > 0.6
-            if s < 0.75 and not person and abbreviates(x, y):
-                s, plain = 0.85, False
+            s = word_likeness(x, y)
+            if s < ABBREVIATED and not person and abbreviates(x, y):
+                s = ABBREVIATED
             if s:
-                pairs.append((s, min(len(x), len(y)), -abs(i - j), i, j, plain))
+                pairs.append((s, min(len(x), len(y)), -abs(i - j), i, j))
     if not pairs:
-        return 0.0, 9.0
+        return 0.0
     pairs.sort(reverse=True)
     left, right = set(range(len(a))), set(range(len(b)))
     weight = total = 0.0
     told = False
-    for s, _, _, i, j, plain in pairs:
+    for s, _, _, i, j in pairs:
         if i in left and j in right:
             left.discard(i)
             right.discard(j)
+            told = told or (rare_a[i] and rare_b[j] and min(len(a[i]), len(b[j])) > 1)
             w = min(len(a[i]), len(b[j]))
-            told = told or (plain and distinctive(a[i], common) and distinctive(b[j], common))
             weight += w
             total += w * s
-    for p, q, own, other in ((a, b, left, right), (b, a, right, left)):
+    for p, q, own, other, rare_p, rare_q in ((a, b, left, right, rare_a, rare_b), (b, a, right, left, rare_b, rare_a)):
         for j in sorted(other):
             for i in sorted(own):
                 if i + 1 in own and j in other and len(q[j]) > 3:
-                    joined = p[i] + p[i + 1]
-                    s = word_agreement(joined, q[j])
-                    if not s and len(joined) > 6 and abs(len(joined) - len(q[j])) <= 3 and edits(consonants(joined), consonants(q[j]), 1) <= 1:
-                        s = 0.8
-                    if s > 0.6:
+                    s = word_likeness(p[i] + p[i + 1], q[j])
+                    if s > INITIAL:
                         own -= {i, i + 1}
                         other.discard(j)
                         weight += len(q[j])
                         total += len(q[j]) * s
-                        told = told or any(distinctive(w, common) for w in p[i : i + 2])
+                        told = told or rare_q[j]
                         break
-    if not weight:
-        return 0.0, 9.0
     if not told and (left or right or total < 0.95 * weight or weight < 6):
-        return 0.0, 9.0
-    lost = [sum(max(1, len(p[i]) - 1) for i in own if not (person and _particle_like(p[i]))) for p, own in ((a, left), (b, right))]
-    return total / weight, float(min(lost))
-
-
-@lru_cache(maxsize=1 << 14)
-def _particle_like(word: str) -> bool:
-    """A particle, an initial of one, or a mistyped one."""
-    return word == "b" or (1 < len(word) <= 3 and any(edits(word, p, 1) <= 1 for p in ("al", "el", "bin")))
+        return 0.0
+    lost = [sum(max(1, len(p[i]) - 1) for i in own) for p, own in ((a, left), (b, right))]
+    return total / (weight + min(lost))

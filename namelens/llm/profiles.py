@@ -5,28 +5,26 @@ Rows with the same profile are matched once, through one representative; the oth
 
 from __future__ import annotations
 
-from datetime import date
-
 import pandas as pd
-from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from namelens.llm.names import sound, spelling_agreement, words_of
+from namelens.llm.names import words_of
 from namelens.llm.values import alias_array
 
-#: A word in more rows than this share of them, and than so many, is common: it tells nobody apart.
-COMMON_SHARE = 0.001
-COMMON_ROWS = 30
-#: An alias without a distinctive word that more profiles than this bear is weak, and no spelling of anyone.
-WEAK_ALIAS = 8
-
-#: Three-letter codes that differ from their two-letter ones in more than the third letter.
+#: The ISO 3166-1 three-letter codes whose first two letters are not their two-letter code.
 THREE_LETTER = {
-    "ARE": "AE", "BLR": "BY", "CHN": "CN", "COD": "CD", "CUB": "CU", "DEU": "DE", "GNB": "GW", "HTI": "HT", "IRQ": "IQ", "IRN": "IR", "LBN": "LB", "LBY": "LY", "MEX": "MX", "MLI": "ML", "PAK": "PK", "PAN": "PA",
-    "POL": "PL", "PRK": "KP", "RUS": "RU", "SDN": "SD", "SOM": "SO", "SRB": "RS", "SYR": "SY", "TUR": "TR", "UKR": "UA", "VEN": "VE", "YEM": "YE", "ZWE": "ZW", "NIC": "NI", "NLD": "NL", "CYP": "CY", "AFG": "AF",
-    "COL": "CO", "ESP": "ES", "FRA": "FR", "GBR": "GB",
+    "ABW": "AW", "AGO": "AO", "ALA": "AX", "AND": "AD", "ARE": "AE", "ARM": "AM", "ATA": "AQ", "ATF": "TF", "ATG": "AG", "AUT": "AT",
+    "BDI": "BI", "BEN": "BJ", "BES": "BQ", "BGD": "BD", "BHS": "BS", "BIH": "BA", "BLR": "BY", "BLZ": "BZ", "BRB": "BB", "BRN": "BN",
+    "CAF": "CF", "CHL": "CL", "CHN": "CN", "COD": "CD", "COG": "CG", "COK": "CK", "COM": "KM", "CPV": "CV", "CUW": "CW", "CYM": "KY",
+    "DNK": "DK", "ESH": "EH", "EST": "EE", "FLK": "FK", "FRO": "FO", "FSM": "FM", "GIN": "GN", "GLP": "GP", "GNB": "GW", "GNQ": "GQ",
+    "GRD": "GD", "GRL": "GL", "GUF": "GF", "GUY": "GY", "IRL": "IE", "IRQ": "IQ", "ISR": "IL", "JAM": "JM", "KAZ": "KZ", "KOR": "KR",
+    "LBR": "LR", "LBY": "LY", "MAC": "MO", "MAF": "MF", "MDG": "MG", "MDV": "MV", "MEX": "MX", "MLT": "MT", "MNE": "ME", "MNP": "MP",
+    "MOZ": "MZ", "MTQ": "MQ", "MYT": "YT", "NIU": "NU", "PAK": "PK", "PCN": "PN", "PLW": "PW", "PNG": "PG", "POL": "PL", "PRK": "KP",
+    "PRT": "PT", "PRY": "PY", "PYF": "PF", "SEN": "SN", "SGS": "GS", "SLB": "SB", "SLV": "SV", "SPM": "PM", "SRB": "RS", "SUR": "SR",
+    "SVK": "SK", "SVN": "SI", "SWE": "SE", "SWZ": "SZ", "SYC": "SC", "TCD": "TD", "TKM": "TM", "TUN": "TN", "TUR": "TR", "TUV": "TV",
+    "UKR": "UA", "URY": "UY", "WLF": "WF",
 }
 
 
@@ -39,10 +37,10 @@ def date_form(dob: Column) -> Column:
 
 
 def country_form(nationality: Column) -> Column:
-    """A country as its two-letter code, '' if it is unknown."""
+    """A country as its two-letter code, '' if it is unknown; a text that is no code stays as it is, in upper case."""
     text = F.upper(F.trim(F.coalesce(nationality, F.lit(""))))
     codes = F.create_map(*[F.lit(x) for kv in THREE_LETTER.items() for x in kv])
-    return F.when(text == "UNKNOWN", "").otherwise(F.coalesce(codes[text], text))
+    return F.when(text == "UNKNOWN", "").when(F.length(text) == 3, F.coalesce(codes[text], F.left(text, F.lit(2)))).otherwise(text)
 
 
 _SPELLINGS = T.ArrayType(T.ArrayType(T.StringType()))
@@ -62,10 +60,11 @@ def _spellings(values: pd.Series, person: pd.Series) -> pd.Series:
 
 
 def profiles(people: DataFrame) -> DataFrame:
-    """(id, list_type, person, spellings, dob, country, programs) of rows that have an id.
+    """(id, list_type, person, spellings, named, dob, country, programs) of rows that have an id.
 
     ``spellings`` holds the words of the name, then of each alias; without any the row matches nothing.
-    Rows are persons unless their roles say ``entity``.
+    ``named`` tells whether the first of them is that of the name.  Rows are persons unless their roles
+    say ``entity``.
     """
     roles = F.filter(alias_array(F.col("roles")), lambda x: x.isNotNull())
     rows = people.where("id IS NOT NULL").select(
@@ -73,108 +72,24 @@ def profiles(people: DataFrame) -> DataFrame:
         F.coalesce("list_type", F.lit("")).alias("list_type"),
         (~F.array_contains(roles, "entity")).alias("person"),
         F.filter(F.concat(F.array("name"), alias_array(F.col("aliases"))), lambda x: x.isNotNull()).alias("names"),
+        F.coalesce(F.col("name").rlike(r"[\p{L}\p{N}]"), F.lit(False)).alias("named"),
         date_form(F.col("dob")).alias("dob"),
         country_form(F.col("nationality")).alias("country"),
         F.array_sort(F.array_distinct(F.filter(roles, lambda x: ~x.isin("individual", "entity")))).alias("programs"),
     )
-    return rows.select("id", "list_type", "person", _spellings("names", "person").alias("spellings"), "dob", "country", "programs")
+    return rows.select("id", "list_type", "person", _spellings("names", "person").alias("spellings"), "named", "dob", "country", "programs")
 
 
 def copies(rows: DataFrame) -> DataFrame:
     """The profiles with ``pid``, the smallest id of those that are alike but for id and list; one without names is alone."""
-    alike = ["person", "spellings", "dob", "country", "programs", F.when(F.size("spellings") == 0, F.col("id"))]
-    heads = rows.groupBy(F.xxhash64(*alike).alias("print"), F.xxhash64(F.lit(1), *alike).alias("print_2")).agg(F.min("id").alias("pid"))
-    return rows.select("*", F.xxhash64(*alike).alias("print"), F.xxhash64(F.lit(1), *alike).alias("print_2")).join(heads, ["print", "print_2"]).drop("print", "print_2")
-
-
-_SOUNDS = T.ArrayType(T.StringType())
-
-
-@F.pandas_udf(_SOUNDS)
-def _sounds(spellings: pd.Series) -> pd.Series:
-    return pd.Series([sorted({sound(w) for s in own for w in s}) for own in spellings])
-
-
-def common_words(heads: DataFrame) -> frozenset[str]:
-    """The sounds of words that are common over all profiles.
-
-    Their number is bounded: a profile has a few dozen words at most, and a common word takes up a
-    thousandth of the profiles, so there are tens of thousands of them whatever the data's size.
-    """
-    words = heads.select(F.explode(_sounds("spellings")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    total = heads.count()
-    rows = words.where(F.col("n") > max(COMMON_ROWS, COMMON_SHARE * total)).limit(200_001).collect()
-    if len(rows) > 200_000:
-        raise ValueError("profiles have more words than names do")
-    return frozenset(r.word for r in rows)
-
-
-def without_weak(heads: DataFrame) -> DataFrame:
-    """The profiles without aliases that many of them share."""
-    every = heads.select("pid", "person", F.posexplode("spellings").alias("pos", "words"))
-    key = F.xxhash64("person", "words")
-    shared = every.groupBy(key.alias("key")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("pos") == 0).alias("names"))
-    weak = shared.where((F.col("n") > WEAK_ALIAS) & (F.col("names") == 0)).select("key")
-    kept = every.withColumn("key", key).join(weak.withColumn("weak", F.lit(True)), "key", "left").where("weak IS NULL")
-    own = kept.groupBy("pid").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "words"))), lambda x: x["words"]).alias("spellings"))
-    return heads.drop("spellings").join(own, "pid")
-
-
-def date_agreement(a: str, b: str) -> str:
-    """How two dates in one form agree: missing, equal, near (one error of writing or reckoning), or far."""
-    if not a or not b:
-        return "missing"
-    if a == b:
-        return "equal"
-    if len(a) == 4 or len(b) == 4:
-        return "near" if a[:4] == b[:4] else "far"
-    if a[:4] == b[:4] and a[5:7] == b[8:] and a[8:] == b[5:7]:
-        return "equal"
-    if sum(x != y for x, y in zip(a, b)) <= 1 or a[:4] == b[:4] or a[5:] == b[5:]:
-        return "near"
-    try:
-        return "near" if abs((date.fromisoformat(a) - date.fromisoformat(b)).days) <= 400 else "far"
-    except ValueError:
-        return "far"
-
-
-def agreement(one: dict, other: dict, common: frozenset[str]) -> tuple[float, float]:
-    """The best (agreement, conflict) over all pairs of spellings: least conflict first."""
-    person = bool(one["person"])
-    best = (0.0, 9.0)
-    for s in one["spellings"]:
-        for t in other["spellings"]:
-            q, c = spelling_agreement(s, t, person, common)
-            if (-c, q) > (-best[1], best[0]):
-                best = (q, c)
-                if c == 0 and q == 1:
-                    return best
-    return best
-
-
-#: Least agreement of names for a match, and if something else speaks against it.
-NAMES_AGREE = 0.82
-NAMES_AGREE_WELL = 0.9
-#: Most weight of words in conflict that an equal date of birth outweighs.
-CONFLICT_OUTWEIGHED = 5.0
-
-
-def same_bearer(q: float, conflict: float, dates: list[str], same_programs: bool) -> bool:
-    """The verdict on names that agree to ``q``, by how the dates of birth and the programmes agree."""
-    when = "equal" if "equal" in dates else "near" if "near" in dates else "missing" if "missing" in dates or not dates else "far"
-    if not same_programs:
-        return when == "equal" and conflict == 0 and q >= NAMES_AGREE_WELL
-    if when == "equal":
-        return q >= 0.75 and conflict <= CONFLICT_OUTWEIGHED
-    return when != "far" and q >= NAMES_AGREE and conflict == 0
-
-
-def broadcast_words(df: DataFrame, words: frozenset[str]) -> Broadcast:
-    return df.sparkSession.sparkContext.broadcast(words)
+    alike = ["person", "spellings", "named", "dob", "country", "programs", F.when(F.size("spellings") == 0, F.col("id"))]
+    printed = rows.select("*", F.xxhash64(*alike).alias("print"), F.xxhash64(F.lit(1), *alike).alias("print_2"))
+    heads = printed.groupBy("print", "print_2").agg(F.min("id").alias("pid"))
+    return printed.join(heads.hint("merge"), ["print", "print_2"]).drop("print", "print_2")
 
 
 def components(nodes: DataFrame, edges: DataFrame, cut) -> DataFrame:
-    """(node, root): for each node the smallest node that edges (a, b) lead to.
+    """(pid, root): for each node of column ``pid`` the smallest node that edges (a, b) lead to.
 
     Large-star and small-star steps alternate until nothing changes; each is a shuffle of the edges.
     """
@@ -182,13 +97,13 @@ def components(nodes: DataFrame, edges: DataFrame, cut) -> DataFrame:
     while True:
         both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.join(low.hint("merge"), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low_2 = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low_2, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("p")).select("p.*").where("a <> b").distinct()
+        small = large.join(low_2.hint("merge"), "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("p")).select("p.*").where("a <> b").distinct()
         after = cut(small)
-        same = after.join(pairs, ["a", "b"], "left_anti").isEmpty() and pairs.join(after, ["a", "b"], "left_anti").isEmpty()
+        same = after.join(pairs.hint("merge"), ["a", "b"], "left_anti").isEmpty() and pairs.join(after.hint("merge"), ["a", "b"], "left_anti").isEmpty()
         pairs = after
         if same:
             break
     roots = pairs.groupBy("a").agg(F.min("b").alias("root"))
-    return nodes.select(F.col("pid").alias("a")).join(roots, "a", "left").select(F.col("a").alias("pid"), F.coalesce("root", "a").alias("root"))
+    return nodes.select(F.col("pid").alias("a")).join(roots.hint("merge"), "a", "left").select(F.col("a").alias("pid"), F.coalesce("root", "a").alias("root"))

@@ -1,139 +1,68 @@
 """Variant spellings of names typed by people, by merging matched records and matching them again.
 
-A record's profile is the set of its spellings with the other attributes known of it.  Profiles that share a blocking
-key are compared; those that match are merged, which unions their spellings, initials, dates and
-programmes; the merged profiles are blocked and compared again, with all others, until no profile
-merges any more.  A record may thus be found through what another record of the same bearer adds.
-
-Blocking keys are the distinctive words by sound, whole and with each letter left out, so that two
-words with an error each still share a key; for words with more errors their first letters, and their
-first and last ones, together with the programmes; and the date of birth together with the programmes.  Words
-that many records bear are no keys; a spelling that has no other words is blocked by pairs of its
-words.  Nothing grows with a frequent word then: the records under a key bear the same rare word.
+Records under a common key are compared; those that match are merged, which unites their spellings, the
+initials of these, and what is known of dates and countries; merged records are blocked and compared again,
+with all others, until none merges any more.  A record may thus be found through what another of the same bearer adds:
+a name of the one with the date of birth of the other, or a former name.
+
+Keys and comparison are those of ``vectors``: a rare word, or one close to it, with the initial of another word,
+or any word with the date of birth.  Spellings are held one to a row and are compared once whoever bears
+them, so that no row grows with the size of a group, and a later round compares only what merging has made new.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from namelens.llm import linkage as L
 from namelens.llm import profiles as P
-from namelens.llm.names import distinctive, sound
+from namelens.llm import vectors as V
 from namelens.session import cut_lineage
 
-#: Letters at both ends of a word that, with the programmes, are a key; twice as many at its beginning are another.
-END_LETTERS = 3
-
-
-def word_keys(word: str) -> set[str]:
-    """A word by sound, and the same with each letter left out."""
-    s = sound(word)
-    return {s} | {s[:i] + s[i + 1 :] for i in range(len(s))}
-
-
-def blocking_keys(spellings: list[list[str]], programs: list[str], dobs: list[str], common: frozenset[str]) -> set[str]:
-    """The keys under which a profile is compared with others."""
-    keys: set[str] = set()
-    for words in spellings:
-        rare = [w for w in words if distinctive(w, common)]
-        for w in rare:
-            s = sound(w)
-            keys |= word_keys(w)
-            if len(s) > 2 * END_LETTERS:
-                keys |= {f"{p} {part}" for p in programs for part in (f"{s[: 2 * END_LETTERS]}-", f"{s[:END_LETTERS]}-{s[-END_LETTERS:]}")}
-        if not rare:
-            sounds = sorted({sound(w) for w in words})
-            keys |= {f"{a} {b}" for i, a in enumerate(sounds) for b in sounds[i + 1 :]} or {f"{sounds[0]} "}
-    return keys | {f"{p} {d}" for p in programs for d in dobs if len(d) > 4}
-
 
-def _keyed(shared):
-    def mapped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        common = shared.value
-        for batch in batches:
-            keys = [sorted(blocking_keys([list(s) for s in sp], list(g), list(d), common)) for sp, g, d in zip(batch["spellings"], batch["programs"], batch["dobs"])]
-            yield pd.DataFrame({"pid": batch["pid"], "fresh": batch["fresh"], "person": batch["person"], "key": keys}).explode("key").dropna(subset=["key"])
+def merged(entities: DataFrame, spelt: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Entities and their spellings after those with the same root became one; what is new of them is ``fresh``.
 
-    return mapped
-
-
-def _matching(shared):
-    @F.pandas_udf(T.BooleanType())
-    def matching(a: pd.DataFrame, b: pd.DataFrame) -> pd.Series:
-        common = shared.value
-        out = []
-        for x, y in zip(_records(a), _records(b)):
-            q, conflict = P.agreement(x, y, common)
-            dates = [P.date_agreement(s, t) for s in x["dobs"] for t in y["dobs"]]
-            out.append(P.same_bearer(q, conflict, dates, bool(set(x["programs"]) & set(y["programs"])) if len(x["programs"]) + len(y["programs"]) else True))
-        return pd.Series(out)
-
-    return matching
-
-
-def _records(frame: pd.DataFrame) -> list[dict]:
-    return [
-        {"person": p, "spellings": [tuple(s) for s in sp], "dobs": list(d), "programs": list(g)}
-        for p, sp, d, g in zip(frame["person"], frame["spellings"], frame["dobs"], frame["programs"])
-    ]
+    The arrays of a record hold distinct dates and countries, of which there are a bounded number.
+    """
+    united = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_set(c)))).alias(c)
+    joined = entities.join(roots.withColumnRenamed("pid", "eid").hint("merge"), "eid")
+    one = joined.groupBy("root").agg(F.first("person").alias("person"), united("dobs"), united("countries"), (F.count(F.lit(1)) > 1).alias("fresh"))
+    moved = spelt.join(roots.withColumnRenamed("pid", "eid").hint("merge"), "eid").groupBy("root", "sid").agg(F.max("main").alias("main"))
+    return cut_lineage(one.withColumnRenamed("root", "eid")), cut_lineage(moved.withColumnRenamed("root", "eid"))
 
 
-def resolve(people: DataFrame) -> DataFrame:
+def resolve(people: DataFrame, *, least: float = L.LEAST_CONFIDENCE, weights: L.Weights = L.WEIGHTS) -> DataFrame:
     """(id, list_type, bearer) of every row with an id: rows with the same ``bearer`` mean the same one.
 
-    Only the rounds' profiles and matches are written in between.  Rows without any name stand alone.
+    Rows without any name stand alone.
     """
-    rows = cut_lineage(P.copies(P.profiles(people)))
-    heads = P.without_weak(rows.where("id = pid").dropDuplicates(["pid"]).drop("id", "list_type"))
-    # programmes as one key: a profile's list of sets of programmes
-    current = heads.select(
-        "pid",
-        "person",
-        "spellings",
-        F.filter(F.array("dob"), lambda x: x != "").alias("dobs"),
-        F.array(F.array_join("programs", "|")).alias("programs"),
-        F.lit(True).alias("fresh"),
-    )
-    current = cut_lineage(current)
+    rows, entities, spelt, spellings, close = L.prepared(people)
     member = rows.select("pid").distinct().select("pid", F.col("pid").alias("bearer"))
-    shared = P.broadcast_words(people, P.common_words(current))
+    asked = cut_lineage(V.name_pairs(spellings, close))
+    names = cut_lineage(V.scored_names(asked, spellings))
     while True:
-        keys = current.mapInPandas(_keyed(shared), "pid string, fresh boolean, person boolean, key string").select("pid", "fresh", F.xxhash64("person", "key").alias("key"))
-        a, b = keys.alias("a"), keys.alias("b")
-        pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.pid") < F.col("b.pid")) & (F.col("a.fresh") | F.col("b.fresh"))).select(F.col("a.pid").alias("a"), F.col("b.pid").alias("b")).distinct()
-        known = current.select("pid", F.struct("person", "spellings", "dobs", "programs").alias("p"))
-        both = pairs.join(known.select(F.col("pid").alias("a"), F.col("p").alias("x")), "a").join(known.select(F.col("pid").alias("b"), F.col("p").alias("y")), "b")
-        matches = cut_lineage(both.where(_matching(shared)("x", "y")).select("a", "b"))
+        more = cut_lineage(V.dated_pairs(entities, spelt, spellings, close, F.col("fresh")).join(asked.hint("merge"), ["s", "t"], "left_anti"))
+        asked, names = asked.union(more), cut_lineage(names.union(V.scored_names(more, spellings)))
+        pairs = L.compared(entities, spelt, spellings, names)
+        sure = cut_lineage(pairs.withColumn("confidence", L.confidence(F.col("name"), F.col("dob"), F.col("country"), weights)).where(F.col("confidence") >= least))
+        matches = L.consistent(sure, entities).select("a", "b")
         if matches.isEmpty():
             break
-        roots = cut_lineage(P.components(current, matches, cut_lineage))
-        merged = (
-            current.join(roots, "pid")
-            .groupBy("root")
-            .agg(
-                F.first("person").alias("person"),
-                F.array_distinct(F.flatten(F.collect_list("spellings"))).alias("spellings"),
-                F.array_distinct(F.flatten(F.collect_list("dobs"))).alias("dobs"),
-                F.array_distinct(F.flatten(F.collect_list("programs"))).alias("programs"),
-                (F.count(F.lit(1)) > 1).alias("fresh"),
-            )
-            .withColumnRenamed("root", "pid")
-        )
-        current = cut_lineage(merged.select("pid", "person", "spellings", "dobs", "programs", "fresh"))
-        member = cut_lineage(member.join(roots.withColumnRenamed("pid", "bearer"), "bearer", "left").select("pid", F.coalesce("root", "bearer").alias("bearer")))
-    return rows.select("id", "list_type", "pid").join(member, "pid").select("id", "list_type", "bearer")
+        roots = cut_lineage(P.components(entities.select(F.col("eid").alias("pid")), matches, cut_lineage))
+        entities, spelt = merged(entities, spelt, roots)
+        member = cut_lineage(member.join(roots.withColumnRenamed("pid", "bearer").hint("merge"), "bearer", "left").select("pid", F.coalesce("root", "bearer").alias("bearer")))
+    return rows.join(member.hint("merge"), "pid").select("id", "list_type", "bearer")
 
 
-def variant_pairs(people: DataFrame) -> DataFrame:
+def variant_pairs(people: DataFrame, *, least: float = L.LEAST_CONFIDENCE, weights: L.Weights = L.WEIGHTS) -> DataFrame:
     """(id_a, id_b), id_a < id_b: the rows of one list that mean the same person or organisation.
 
     Every pair of a larger group is given, identical spellings included.  A repeated id is paired
-    with itself never and with others once.
+    with itself never and with others once.  Rows without an id or any name match nothing; null lists are one list of
+    their own; columns that are not read are ignored.
     """
-    rows = resolve(people).distinct()
-    a, b = rows.alias("a"), rows.alias("b")
-    return a.join(b, ["bearer", "list_type"]).where("a.id < b.id").select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b")).distinct()
+    own = resolve(people, least=least, weights=weights).distinct()
+    a, b = own.alias("a"), own.alias("b")
+    return a.join(b.hint("merge"), ["bearer", "list_type"]).where("a.id < b.id").select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b")).distinct()
