@@ -19,16 +19,23 @@ SPACE = r"(?U)\s+"
 PUNCTUATION = r"[\p{P}\p{S}]"
 CYRILLIC = r"[Ѐ-ԯⷠ-ⷿꙀ-ꚟᲀ-᲏]"
 
-# The two transliteration schemes. Letters that differ between the schemes, or from
-# lower to upper case, stand in the second part of each.
-_BOTH = {
-    "а": "a", "б": "b", "в": "v", "г": "g", "д": "d", "е": "e", "ж": "zh", "з": "z", "к": "k", "л": "l", "м": "m", "н": "n", "о": "o", "п": "p", "р": "r",
-    "с": "s", "т": "t", "у": "u", "ф": "f", "ц": "ts", "ч": "ch", "ш": "sh", "щ": "shch", "ъ": "", "ы": "y", "ь": "", "э": "e", "ґ": "g", "і": "i",
+# The two transliteration schemes, lower and upper case.
+STANDARD = {
+    "а": "a", "б": "b", "в": "v", "г": "g", "ґ": "g", "д": "d", "е": "e", "ё": "yo", "є": "ye", "ж": "zh", "з": "z", "и": "i", "і": "i", "ї": "yi", "й": "y", "к": "k", "л": "l",
+    "м": "m", "н": "n", "о": "o", "п": "p", "р": "r", "с": "s", "т": "t", "у": "u", "ф": "f", "х": "kh", "ц": "ts", "ч": "ch", "ш": "sh", "щ": "shch", "ъ": "", "ы": "y", "ь": "",
+    "э": "e", "ю": "yu", "я": "ya",
+    "А": "a", "Б": "b", "В": "v", "Г": "g", "Ґ": "g", "Д": "d", "Е": "e", "Ё": "yo", "Є": "ye", "Ж": "zh", "З": "z", "И": "i", "І": "i", "Ї": "yi", "Й": "y", "К": "k", "Л": "l",
+    "М": "m", "Н": "n", "О": "o", "П": "p", "Р": "r", "С": "s", "Т": "t", "У": "u", "Ф": "f", "Х": "kh", "Ц": "ts", "Ч": "ch", "Ш": "sh", "Щ": "shch", "Ъ": "", "Ы": "y", "Ь": "",
+    "Э": "e", "Ю": "yu", "Я": "ya",
+}
+ALTERNATIVE = {
+    "а": "a", "б": "b", "в": "v", "г": "g", "ґ": "g", "д": "d", "е": "e", "ё": "e", "є": "ie", "ж": "zh", "з": "z", "и": "y", "і": "i", "ї": "ji", "й": "y", "к": "k", "л": "l",
+    "м": "m", "н": "n", "о": "o", "п": "p", "р": "r", "с": "s", "т": "t", "у": "u", "ф": "f", "х": "h", "ц": "ts", "ч": "ch", "ш": "sh", "щ": "shch", "ъ": "", "ы": "y", "ь": "",
+    "э": "e", "ю": "iu", "я": "ia",
+    "А": "a", "Б": "b", "В": "v", "Г": "g", "Ґ": "g", "Д": "d", "Е": "e", "Ё": "e", "Є": "ie", "Ж": "zh", "З": "z", "И": "i", "І": "i", "Ї": "ji", "Й": "i", "К": "k", "Л": "l",
+    "М": "m", "Н": "n", "О": "o", "П": "p", "Р": "r", "С": "s", "Т": "t", "У": "u", "Ф": "f", "Х": "h", "Ц": "ts", "Ч": "ch", "Ш": "sh", "Щ": "shch", "Ъ": "", "Ы": "y", "Ь": "",
+    "Э": "e", "Ю": "iu", "Я": "ia",
 }
-STANDARD = _BOTH | {"ё": "yo", "и": "i", "й": "y", "х": "kh", "ю": "yu", "я": "ya", "є": "ye", "ї": "yi"}
-ALTERNATIVE = _BOTH | {"ё": "e", "и": "y", "й": "y", "х": "h", "ю": "iu", "я": "ia", "є": "ie", "ї": "ji"}
-STANDARD = STANDARD | {k.upper(): v for k, v in STANDARD.items()}
-ALTERNATIVE = ALTERNATIVE | {k.upper(): v for k, v in ALTERNATIVE.items()} | {"И": "i", "Й": "i"}
 
 VARIANT = T.StructType([T.StructField("pos", T.IntegerType()), T.StructField("text", T.StringType()), T.StructField("tokens", T.ArrayType(T.StringType())), T.StructField("label", T.StringType())])
 

@@ -93,64 +93,53 @@ def token_pair(a: str, b: str) -> float:
 
 
 def token_match(query: list[str], target: list[str]) -> float:
-    if not query or not target:
+    """For one query token after the other the free target that scores best; what has no partner costs."""
+    if not (query and target):
         return 0.0
-    used: set[int] = set()
-    total = 0.0
-    for i, q in enumerate(query):
-        best, at = -1.0, -1
-        for j, t in enumerate(target):
-            if j in used:
-                continue
-            s = token_pair(q, t)
-            if i == len(query) - 1 and j == len(target) - 1:
-                s = min(s + 0.05, 1.0)
-            if s > best:
-                best, at = s, j
-        if at >= 0 and best > 0:
-            used.add(at)
-            total += best
-    lost = len(query) + len(target) - 2 * len(used)
-    return max(total / max(len(query), len(target)) - 0.15 * lost, 0.0)
+    last = (len(query) - 1, len(target) - 1)
+    table = [[min(token_pair(q, t) + 0.05 * ((i, j) == last), 1.0) for j, t in enumerate(target)] for i, q in enumerate(query)]
+    taken: dict[int, float] = {}
+    for row in table:
+        open_ones = sorted((-score, j) for j, score in enumerate(row) if j not in taken and score > 0)
+        taken.update({j: -negative for negative, j in open_ones[:1]})
+    unpaired = len(query) + len(target) - 2 * len(taken)
+    return max(sum(taken.values()) / max(len(query), len(target)) - 0.15 * unpaired, 0.0)
 
 
 def keys(variants: list[tuple[str, str]]) -> set[str]:
     return {t[:2] for text, _ in variants for t in text.split()}
 
 
-def match(name: str, entry: tuple, threshold: float):
-    """(score, match_type, method) of a name and an entry (id, name, aliases, ...), or None."""
-    own, aliases = entry[1] or "", entry[2] or []
-    spelt = [(t, lab, False) for t, lab in list_variants(own)] + [(t, lab, True) for a in aliases for t, lab in list_variants(a or "")]
-    sure = fuzzy = None
-    for q, q_label in asked_variants(name):
-        for e, e_label, is_alias in spelt:
-            crossed = "translit" in (q_label, e_label)
-            found = None
-            if q == e:
-                if is_alias:
-                    found = (0.95, "alias", "exact_alias") if threshold <= 0.95 else None
-                else:
-                    found = (1.0, "fuzzy", "transliterated_exact") if crossed else (1.0, "exact", "exact_primary")
+def candidates(name: str, entry: tuple, threshold: float):
+    """All ways in which a name matches an entry (id, name, aliases, ...): (class, -score, place, score, type, method), the least first."""
+    own = entry[1] or ""
+    spelt = [(text, label, False) for text, label in list_variants(own)]
+    spelt += [(text, label, True) for alias in entry[2] or [] for text, label in list_variants(alias or "")]
+    asked = asked_variants(name)
+    for i, (q, q_label) in enumerate(asked):
+        for j, (e, e_label, is_alias) in enumerate(spelt):
+            if q == e and is_alias:
+                yield from [(0, -0.95, (i, j), 0.95, "alias", "exact_alias")] * (threshold <= 0.95)
+            elif q == e and "translit" in (q_label, e_label):
+                yield (1, -1.0, (0, i, j), 1.0, "fuzzy", "transliterated_exact")
+            elif q == e:
+                yield (0, -1.0, (i, j), 1.0, "exact", "exact_primary")
             elif not is_alias:
-                token = token_match(q.split(), e.split())
-                string = jaro_winkler(q, e)
-                if token >= threshold and token > 0:
-                    found = (token, "fuzzy", "token")
-                elif string >= threshold and string > 0:
-                    found = (string, "fuzzy", "fuzzy")
-            if found and found[1] in ("exact", "alias"):
-                sure = found if sure is None or found[0] > sure[0] else sure
-            elif found:
-                fuzzy = found if fuzzy is None or found[0] > fuzzy[0] else fuzzy
-    if sure:
-        return sure
-    base, initials = asked_variants(name)[0][0], "".join(letters_of(own))
-    if initials and jaro_winkler(base, initials) >= 0.9:
-        score = jaro_winkler(base, list_variants(expand_initials(initials, own))[0][0])
-        if score >= threshold and score > 0 and (fuzzy is None or score > fuzzy[0]):
-            fuzzy = (score, "initial", None)
-    return fuzzy
+                both = [(token_match(q.split(), e.split()), "token"), (jaro_winkler(q, e), "fuzzy")]
+                reached = [(score, method) for score, method in both if score >= threshold and score > 0]
+                for score, method in reached[:1]:  # the token score goes first, be it the lower one
+                    yield (1, -score, (0, i, j), score, "fuzzy", method)
+    initials = "".join(letters_of(own))
+    if initials and jaro_winkler(asked[0][0], initials) >= 0.9:
+        score = jaro_winkler(asked[0][0], list_variants(expand_initials(initials, own))[0][0])
+        if score >= threshold and score > 0:
+            yield (1, -score, (1,), score, "initial", None)  # behind equally good texts
+
+
+def match(name: str, entry: tuple, threshold: float):
+    """(score, match_type, method) of a name and an entry, or None."""
+    best = min(candidates(name, entry, threshold), key=lambda c: c[:3], default=None)
+    return best and best[3:]
 
 
 def screen(name: str, people: list[tuple], threshold: float, lists=()) -> list[tuple]:
