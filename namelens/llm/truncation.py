@@ -50,14 +50,21 @@ LIMIT_SHARE = 0.01
 LONGER_SHARE = 0.2
 #: The end of a line that is no fragment, even where the text had to stop.
 CLOSED = r"\p{N}\s?(?:[€£¥]|EUR|USD)$"
-#: Distinct texts within which a kind of line must occur to count as whole: more than one.
+#: Witnesses, distinct texts, that a kind of line needs to be known: those that hold it within, and those that end in it ...
 WHOLE_LINE_DOCS = 2
-#: Distinct texts that must end in a kind of line for it to count as whole if no sentence begins like it.
 WHOLE_LAST_DOCS = 3
+#: ... and the share of the latter that the former must come to, however large the corpus: fragments stand at ends only.
+INNER_SHARE = 0.2
 #: Words of a sentence that are masked first; the others only if an opening goes on that far.
 FIRST_WORDS = 14
+#: Beginnings and separators of footers, menus, signatures and lists, also as damaged by a wrong charset.
+LISTED = r"^(?:©|\ufffd|Â©|[—–•*|]|â€”|вЂ”|â€¢|\(c\))\s|\s(?:[|·•]|Â·|â€¢)\s|^©"
+#: A caption, one word and a colon before a few words of which the last is a name, or a numbered one.
+CAPTION = r"^\S+\s?: (?:\S+ ){0,2}\p{Lu}[\p{L}'’-]+$|^\S+ \p{N}+\s?: (?:\S+ ){0,5}\S+$"
+#: A link of up to four words that ends in a mark of omission.
+LINK = r"^\p{Lu}\S*(?: \S+){0,3}$"
 #: The ends of a line with a price.
-PRICE = r"(?:(?:[€$£¥]|â‚¬)\s?\p{N}+(?:[.,]\p{N}+)*|\p{N}+(?:[.,]\p{N}+)*\s?(?:[€$£¥]|kr|Fr|EUR|USD|руб))\.?$"
+PRICE = r"(?:(?:[€$£¥]|â‚¬)\s?\p{N}+(?:[.,]\p{N}+)*|\p{N}+(?:[.,]\p{N}+)*\s?(?:[€$£¥]|â‚¬|kr|Fr|EUR|USD|руб))\.?$"
 
 
 def last_line(text: Column) -> Column:
@@ -139,12 +146,12 @@ def _unended(line: Column) -> Column:
 def whole_lines(docs: DataFrame) -> DataFrame:
     """(shape, docs) of the lines within documents, all but the last one, that end no sentence.
 
-    ``docs`` is 1, or 2 if distinct texts have such a line; copies of a text count once.
+    ``docs`` is how many distinct texts have such a line; copies of a text count once.
     """
     lines = _lines(F.col("text"))
     inner = docs.where("text IS NOT NULL").select(F.xxhash64("text").alias("print"), F.slice(lines, F.lit(1), F.greatest(F.size(lines) - 1, F.lit(0))).alias("lines"))
     shapes = inner.select("print", F.explode(F.array_distinct(F.transform(F.filter("lines", _unended), lambda x: F.xxhash64(line_shape(x))))).alias("shape"))
-    return shapes.groupBy("shape").agg(F.when(F.min("print") != F.max("print"), 2).otherwise(1).alias("docs"))
+    return shapes.distinct().groupBy("shape").agg(F.count(F.lit(1)).alias("docs"))
 
 
 def continued(docs: DataFrame, shapes: DataFrame) -> DataFrame:
@@ -226,14 +233,15 @@ def endings(docs: DataFrame) -> DataFrame:
 
     ``ending`` is ``sentence``, ``line`` (whole without ending a sentence), ``marked`` (an omission mark
     after a cut) or ``open`` (the line breaks off).  A last line that ends no sentence is whole if lines
-    of its shape stand within other documents; or if they end others too while no sentence begins
-    like that and goes on; or if it is a price, or has the marks of a menu, footer or signature.  None
+    of its shape stand within other documents, not much rarer than at ends; or if they end others too while no sentence
+    begins like that and goes on; or if it is a price, a caption, or has the marks of a menu, footer or signature; or if
+    it is a short link with a mark of omission in a source that sets none after cuts.  None
     of these makes a line whole at the source's storage limit, where a fragment looks the same.  A limit
     counts if so many distinct texts as make one end there: copies of one long text are none.
     """
     limits = cut_lineage(source_limits(docs)).select("source", "measure", "marked", "length")
     text = docs.where(F.col("text").isNotNull() & F.col("text").rlike(r"(?U)\S")).select("doc_id", F.coalesce("source", F.lit("")).alias("source"), "text")
-    rows = text.join(F.broadcast(limits), "source", "left").select("doc_id", "source", last_line(F.col("text")).alias("line"), F.xxhash64("text").alias("print"), stops_at(F.col("text")).alias("at"))
+    rows = text.join(F.broadcast(limits), "source", "left").select("doc_id", "source", last_line(F.col("text")).alias("line"), F.xxhash64("text").alias("print"), stops_at(F.col("text")).alias("at"), F.col("marked").alias("marks"))
     bare = F.trim(without_mark(F.col("line")))
     number = F.col("bare").rlike(r"\p{N}\.$")  # a number cut before its decimals, unless such lines are common
     rows = rows.withColumn("bare", bare).withColumn("sentence", (F.col("bare").rlike(SENTENCE_END) & ~number) | (F.col("bare") == ""))
@@ -245,17 +253,21 @@ def endings(docs: DataFrame) -> DataFrame:
     own = rows.where("shape IS NOT NULL").groupBy("shape", "print").agg(F.min("opening").alias("opening"), F.max(running).alias("running"))
     last = own.groupBy("shape").agg(F.count_if(~F.col("running")).alias("ends"), F.min("opening").alias("opening_text"))
     kinds = last.join(whole_lines(docs), "shape", "left")
-    kinds = cut_lineage(kinds.where((F.coalesce("docs", F.lit(0)) >= WHOLE_LINE_DOCS) | (F.col("ends") >= WHOLE_LAST_DOCS)))
-    doubtful = kinds.where(F.coalesce("docs", F.lit(0)) < WHOLE_LINE_DOCS)
+    held = F.coalesce("docs", F.lit(0))
+    kinds = kinds.withColumn("inner", (held >= WHOLE_LINE_DOCS) & (held >= INNER_SHARE * F.col("ends")))
+    kinds = cut_lineage(kinds.where(F.col("inner") | (F.col("ends") >= WHOLE_LAST_DOCS)))
+    doubtful = kinds.where(~F.col("inner"))
     goes_on = continued(docs, doubtful).withColumn("goes_on", F.lit(True))
-    known = kinds.join(goes_on, "opening_text", "left").select("shape", (F.coalesce("docs", F.lit(0)) >= WHOLE_LINE_DOCS).alias("inner"), F.col("goes_on").isNull().alias("final"))
+    known = kinds.join(goes_on, "opening_text", "left").select("shape", "inner", F.col("goes_on").isNull().alias("final"))
     marked = F.length("bare") < F.length("line")
     broken = F.col("bare").rlike(SENTENCE_BREAK)  # a line with a sentence before the open one is running text
-    listed = (F.col("bare").rlike(r"^[©—–•*|]|^\(c\)| [|·•] ") | F.col("line").rlike(PRICE)) & ~broken
+    listed = (F.col("bare").rlike(LISTED) | F.col("bare").rlike(CAPTION) | F.col("line").rlike(PRICE)) & ~broken
+    link = marked & F.col("bare").rlike(LINK) & ~broken & ~F.coalesce("marks", F.lit(False))  # where the source sets no marks after cuts
     stopped = F.col("at") & F.col("limited").isNotNull() & ~F.col("sentence") & ~F.col("line").rlike(CLOSED)
     ending = (
         F.when(stopped, F.when(marked, "marked").otherwise("open"))
         .when(F.coalesce(F.col("inner") | F.col("final"), F.lit(False)), "line")
+        .when(link, "line")
         .when(marked & ~F.col("sentence"), "marked")
         .when(F.col("sentence"), "sentence")
         .when(listed, "line")

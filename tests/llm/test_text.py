@@ -168,3 +168,9 @@ def test_a_line_end_is_no_plain_character(spark):
     flagged = {i for i, n in (("A", "Ann Bell\u2028"), ("B", "Ann Bell"), ("C", "Ann Bell\u0085")) if usual_form(n)[1]}
     assert flagged and {r.id for r in unusual_values(people).collect()} == flagged
     assert {r.id for r in usual_forms(people).where("unusual").collect()} == flagged
+
+
+def test_few_documents_have_the_verdicts_of_many(spark):
+    alone = ["It rained.\nFoto: archivo Pilmasolnet", "It rained.\nTabelle 5: Übersicht der Haltestellen", "It rained.\nSuivez-nous : fil Â· courrier", "It rained.\nAfficher plus ...", "It rained.\nThe night market mo", "It rained.\nThe night mar…and so on the boat was late and ever…"]
+    docs = lambda n: spark.createDataFrame([(i, t, "s") for i, t in enumerate(alone)] + [(100 + k, f"It was late on day {k}. The night market moved {k} chairs.", "s") for k in range(n)], "doc_id long, text string, source string")
+    assert sorted(r.doc_id for r in truncation.cut_texts(docs(0)).collect()) == sorted(r.doc_id for r in truncation.cut_texts(docs(60)).collect()) == [4, 5]
