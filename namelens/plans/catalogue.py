@@ -65,15 +65,15 @@ def _part_names(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").where("p_name IS NOT NULL").select(F.col("p_name").alias("name")).distinct()
 
 
-def _pairs(names: DataFrame) -> DataFrame:
-    """All pairs of the fixed vocabulary of part names, by a join on the table's one block."""
-    a = names.select(F.col("name").alias("a"), F.lit(0).alias("block"))
-    return a.join(names.select(F.col("name").alias("b"), F.lit(0).alias("block")), "block").drop("block")
+def _pairs(names: DataFrame, letters: int) -> DataFrame:
+    """Pairs of names of which words begin with the same letters."""
+    keyed = names.select("name", F.explode(F.array_distinct(F.transform(F.split("name", " "), lambda x: F.left(x, F.lit(letters))))).alias("key"))
+    return keyed.select(F.col("name").alias("a"), "key").join(keyed.select(F.col("name").alias("b"), "key"), "key").select("a", "b").distinct()
 
 
 def jaro_winkler_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Jaro-Winkler of each pair of part names."""
-    return _pairs(_part_names(spark, d)).select("a", "b", F.round(screening.jaro_winkler_column("a", "b"), 6).alias("score"))
+    """Jaro-Winkler of each pair of part names that share a key."""
+    return _pairs(_part_names(spark, d), 2).select("a", "b", F.round(screening.jaro_winkler_column("a", "b"), 6).alias("score"))
 
 
 @F.pandas_udf(T.DoubleType())
@@ -82,9 +82,9 @@ def _token_pair(left: pd.Series, right: pd.Series) -> pd.Series:
 
 
 def token_pair_scores(spark: SparkSession, d: str) -> DataFrame:
-    """The similarity of each pair of words of part names."""
+    """The similarity of each pair of words of part names that begin with the same letter."""
     words = _part_names(spark, d).select(F.explode(F.split("name", " ")).alias("name")).distinct()
-    return _pairs(words).select("a", "b", F.round(_token_pair("a", "b"), 6).alias("score"))
+    return _pairs(words, 1).select("a", "b", F.round(_token_pair("a", "b"), 6).alias("score"))
 
 
 def candidate_pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -130,15 +130,6 @@ def screen_requests(spark: SparkSession, d: str) -> DataFrame:
     return found.select("input_id", "input_name", "rank", "person_id", "name", F.round("score", 6).alias("score"), "match_type", "list", "nationality", F.col("explain.method").alias("method"))
 
 
-def batch_counts(spark: SparkSession, d: str) -> DataFrame:
-    """How many listed suppliers bear exactly the name of each supplier, zeros included; every other one is listed."""
-    inputs = table(spark, d, "supplier").select(F.col("s_suppkey").alias("input_id"), F.col("s_name").alias("name"))
-    people = table(spark, d, "supplier").where("s_suppkey % 2 = 0").select(F.col("s_suppkey").cast("string").alias("id"), F.col("s_name").alias("name"), F.array().cast("array<string>").alias("aliases"), F.lit("").alias("nationality"), F.lit("EU").alias("list_type"))
-    queries = N.with_variants(inputs, "name", "v").select("input_id", F.get("v", F.lit(0))["text"].alias("text"))
-    entries = screening.prepare_watchlist(people).select("entry", F.get("variants", F.lit(0))["text"].alias("text"))
-    return aggregates.match_counts(inputs, queries.join(entries, "text"))
-
-
 def request_counts(spark: SparkSession, d: str) -> DataFrame:
     """How many entries of the stored watchlist each screening request matches, zeros included."""
     requests = _requests(spark, d).distinct()  # a request that was sent twice counts once
@@ -162,7 +153,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         normalize_names, variants_exploded, list_variants, tokens, initials, transliterate, jaro_winkler_pairs, token_pair_scores, candidate_pairs, screen_alias, screen_alias_gated, screen_requests,
-        batch_counts, request_counts, list_counts, replace_by_list,
+        request_counts, list_counts, replace_by_list,
     )
 }
 
@@ -181,8 +172,8 @@ SELECT name, CAST(pos AS INTEGER) AS pos, text, label, CAST(len(string_split(tex
     "transliterate": """SELECT name, CAST(pos AS INTEGER) AS pos, latin FROM (VALUES
 ('Владимир Путин', 0, 'vladimir putin'), ('Владимир Путин', 1, 'vladymyr putyn'), ('Юрий', 0, 'yuriy'), ('Юрий', 1, 'iuryy'), ('Харьков', 0, 'kharkov'), ('Харьков', 1, 'harkov'),
 ('Южный', 0, 'yuzhnyy'), ('Южный', 1, 'iuzhnyy'), ('Євген', 0, 'yevgen'), ('Євген', 1, 'ievgen'), ('Їжак', 0, 'yizhak'), ('Їжак', 1, 'jizhak'), ('Ґрунт', 0, 'grunt'), ('объект', 0, 'obekt')) t(name, pos, latin)""",
-    "jaro_winkler_pairs": f"WITH n AS (SELECT DISTINCT p_name AS name FROM part WHERE p_name IS NOT NULL), p AS (SELECT x.name AS a, y.name AS b FROM n x, n y) SELECT a, b, round({_WINKLER}, 6) AS score FROM p",
-    "token_pair_scores": f"""WITH n AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS name FROM part WHERE p_name IS NOT NULL), p AS (SELECT x.name AS a, y.name AS b FROM n x, n y)
+    "jaro_winkler_pairs": f"WITH n AS (SELECT DISTINCT p_name AS name FROM part WHERE p_name IS NOT NULL), k AS (SELECT name, left(unnest(string_split(name, ' ')), 2) AS k FROM n), p AS (SELECT DISTINCT x.name AS a, y.name AS b FROM k x JOIN k y USING (k)) SELECT a, b, round({_WINKLER}, 6) AS score FROM p",
+    "token_pair_scores": f"""WITH n AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS name FROM part WHERE p_name IS NOT NULL), p AS (SELECT x.name AS a, y.name AS b FROM n x JOIN n y ON left(x.name, 1) = left(y.name, 1))
 SELECT a, b, round(CASE WHEN a = b THEN 1.0 WHEN starts_with(a, b) OR starts_with(b, a) THEN (CASE WHEN length(a) = 1 OR length(b) = 1 THEN 0.85 ELSE 0.9 END) ELSE {_WINKLER} END, 6) AS score FROM p""",
     "candidate_pairs": f"""WITH q AS (SELECT DISTINCT p_name AS name FROM part WHERE p_name IS NOT NULL), o AS (SELECT DISTINCT name FROM (SELECT p_brand AS name FROM part UNION ALL SELECT p_type FROM part) WHERE name IS NOT NULL),
 qk AS (SELECT DISTINCT name, left(unnest(string_split({_BASE}, ' ') || string_split({_COMPACT}, ' ')), 2) AS k FROM q), ok AS (SELECT DISTINCT name, left(unnest(string_split({_BASE}, ' ') || string_split({_COMPACT}, ' ')), 2) AS k FROM o)
@@ -191,7 +182,6 @@ SELECT DISTINCT qk.name AS name, ok.name AS other FROM qk JOIN ok USING (k)""",
 SELECT i.turned AS input_name, e.name AS person_id, CAST(CASE WHEN i.turned = e.name THEN 1.0 ELSE 0.95 END AS DOUBLE) AS score, CASE WHEN i.turned = e.name THEN 'exact' ELSE 'alias' END AS match_type FROM n i JOIN n e ON i.turned = e.name OR i.turned = e.turned""",
     "screen_alias_gated": """WITH n AS (SELECT DISTINCT p_name AS name, split_part(p_name, ' ', 2) || ' ' || split_part(p_name, ' ', 1) AS turned FROM part WHERE p_name IS NOT NULL)
 SELECT i.turned AS input_name, e.name AS person_id, CAST(1.0 AS DOUBLE) AS score, CASE WHEN i.turned = e.name THEN 'exact' ELSE 'fuzzy' END AS match_type FROM n i JOIN n e ON i.turned = e.name OR i.turned = e.turned""",
-    "batch_counts": "SELECT a.s_suppkey AS input_id, count(b.s_suppkey) AS count FROM supplier a LEFT JOIN (SELECT * FROM supplier WHERE s_suppkey % 2 = 0) b ON lower(a.s_name) = lower(b.s_name) GROUP BY 1",
     "list_counts": "SELECT l.list, count(s.id) AS count FROM (VALUES ('OFAC'), ('EU'), ('UN'), ('HMT'), ('SECO'), ('NONE')) l(list) LEFT JOIN sanctions_list s ON s.list_type = l.list GROUP BY 1",
     "replace_by_list": """WITH r AS (SELECT *, upper(trim(id)) AS nid FROM list_snapshot), s AS (SELECT nid AS id, name, list_type FROM (SELECT *, row_number() OVER (PARTITION BY nid ORDER BY row_no DESC) AS k FROM r WHERE snapshot_no = 1) WHERE k = 1),
 b AS (SELECT nid AS id, name, list_type FROM (SELECT *, row_number() OVER (PARTITION BY nid ORDER BY row_no DESC) AS k FROM r WHERE snapshot_no = 2 AND list_type IN ('UN', 'EU')) WHERE k = 1)

@@ -48,17 +48,18 @@ WITH raw AS (
 ), came AS (
   SELECT r.list_type, n.k, coalesce(lead(n.k) OVER (PARTITION BY r.list_type ORDER BY n.k), (SELECT max(k) + 1 FROM numbers)) AS list_next
   FROM (SELECT DISTINCT list_type, snapshot_no FROM raw) r JOIN numbers n USING (snapshot_no)
-), spans AS (
-  SELECT o.*, n.k, least(c.list_next, coalesce(lead(n.k) OVER (PARTITION BY o.id ORDER BY n.k), c.list_next)) AS k_end
+), steps AS (
+  SELECT o.id, n.k, c.list_next, lag(n.k) OVER w AS earlier, lead(n.k) OVER w AS later,
+         (o.name, o.dob, o.nationality, o.list_type, o.aliases, o.roles) AS content,
+         lead((o.name, o.dob, o.nationality, o.list_type, o.aliases, o.roles)) OVER w AS next_content
   FROM own o JOIN numbers n USING (snapshot_no) JOIN came c ON c.list_type = o.list_type AND c.k = n.k
-), held AS (
-  SELECT m.k, s.id, (s.name, s.dob, s.nationality, s.list_type, s.aliases, s.roles) AS content
-  FROM spans s JOIN numbers m ON m.k >= s.k AND (m.k < s.k_end OR m.k = s.k)
-), compared AS (
-  SELECT coalesce(b.k, a.k + 1) AS k, coalesce(b.id, a.id) AS id,
-         CASE WHEN a.id IS NULL THEN 'added' WHEN b.id IS NULL THEN 'removed' WHEN a.content IS DISTINCT FROM b.content THEN 'changed' END AS change_kind
-  FROM held a FULL OUTER JOIN held b ON b.k = a.k + 1 AND b.id = a.id
+  WINDOW w AS (PARTITION BY o.id ORDER BY n.k)
+), found AS (
+  SELECT k, id, 'added' AS change_kind FROM steps WHERE earlier IS NULL AND k > 1
+  UNION ALL SELECT later, id, 'changed' FROM steps WHERE later <= list_next AND content IS DISTINCT FROM next_content
+  UNION ALL SELECT list_next, id, 'removed' FROM steps WHERE list_next <= (SELECT max(k) FROM numbers) AND (later IS NULL OR later > list_next)
+  UNION ALL SELECT later, id, 'added' FROM steps WHERE later > list_next
 )
-SELECT n.snapshot_no, c.id, c.change_kind FROM compared c JOIN numbers n ON n.k = c.k WHERE c.k > 1 AND change_kind IS NOT NULL
+SELECT n.snapshot_no, f.id, f.change_kind FROM found f JOIN numbers n USING (k)
 """,
 }
