@@ -5,13 +5,15 @@ file with the one before it in its feed; ``schema_versions`` numbers the distinc
 their fingerprints; ``migration_rules`` chains the changes into the place where each canonical field
 is found; ``consistent_records`` routes every record through its feed's rules into one table.
 
-Records are parsed once, into VARIANT values, on the JVM.  Only schema-level tables (files times
+Records are parsed into VARIANT values on the JVM, and their fields written down once.  Only schema-level tables (files times
 fields) are grouped by feed; records are shuffled by (feed, id) for the rename check alone, and there
 only the fields that appeared or vanished.
 """
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -112,11 +114,29 @@ def program_map(programs: DataFrame) -> Column:
 
 
 def _consecutive(files: DataFrame) -> DataFrame:
+    """The files whose schema is another than that of the file ``before`` in their feed."""
     feed = Window.partitionBy("feed_id").orderBy("file_seq")
-    return files.withColumn("before", F.lag("file_name").over(feed)).where("before IS NOT NULL").select("feed_id", "file_seq", "file_name", "before")
+    both = files.withColumn("before", F.lag("file_name").over(feed)).withColumn("print_before", F.lag("fingerprint").over(feed))
+    return both.where("before IS NOT NULL AND fingerprint <> print_before").select("feed_id", "file_seq", "file_name", "before")
+
+
+def read_once(records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(parsed, fields): the readable records as (file_name, line_no, id), and their fields, both written down once."""
+    parsed = readable(records)
+    return cut_lineage(parsed.select("file_name", "line_no", "id")), cut_lineage(fields_of(parsed))
+
+
+def fingerprints(has: DataFrame) -> DataFrame:
+    """(file_name, fingerprint) of the files that have fields: a hash of their sorted (path, type) pairs."""
+    return has.groupBy("file_name").agg(F.sha2(F.to_json(F.array_sort(F.collect_list(F.struct("path", "type")))), 256).alias("fingerprint"))
 
 
-def schema_changes(files: DataFrame, records: DataFrame, programs: DataFrame) -> DataFrame:
+def with_fingerprints(feed: DataFrame, has: DataFrame) -> DataFrame:
+    """The files of feeds with the fingerprint of their schema; one without readable records has that of no fields."""
+    return feed.join(fingerprints(has), "file_name", "left").withColumn("fingerprint", F.coalesce("fingerprint", F.sha2(F.lit("[]"), 256)))
+
+
+def schema_changes(files: DataFrame, records: DataFrame, programs: DataFrame, *, list_numbers: Mapping[str, str] = LIST_NUMBERS) -> DataFrame:
     """Each change between a file and the one before it in its feed.
 
     (feed_id, file_seq, file_name, change_kind, from_path, to_path, from_type, to_type), with the kinds
@@ -126,18 +146,21 @@ def schema_changes(files: DataFrame, records: DataFrame, programs: DataFrame) ->
     fields; a file named by no row of ``files`` is ignored.  Content is compared as the set of values
     written, so that a change of type, of separators, or from codes to numbers does not hide a rename.
     """
-    parsed = readable(records)
-    return changes_between(feed_files(files), parsed, fields_of(parsed), programs)
+    parsed, fields = read_once(records)
+    return changes_between(feed_files(files), parsed, fields, programs, list_numbers=list_numbers)
 
 
-def changes_between(feed: DataFrame, parsed: DataFrame, fields: DataFrame, programs: DataFrame) -> DataFrame:
-    """``schema_changes`` from files, readable records and their fields.
+def changes_between(feed: DataFrame, parsed: DataFrame, fields: DataFrame, programs: DataFrame, *, list_numbers: Mapping[str, str] = LIST_NUMBERS) -> DataFrame:
+    """``schema_changes`` from files, readable records and their fields: the migration steps between schema versions.
+
+    A file with the fingerprint of the one before it in its feed is of the same version and has no step; only the
+    others are compared field by field.
 
     What is written in between has a row for each field of a file, or for each id and vanished or new
     field of a file pair in which fields of both kinds occur.
     """
     has = cut_lineage(file_fields(fields, parsed))
-    pairs = _consecutive(feed)
+    pairs = cut_lineage(_consecutive(with_fingerprints(feed, has)))
     new = pairs.join(has, "file_name").select("feed_id", "file_seq", "file_name", "before", "path", F.col("type").alias("to_type"))
     old = pairs.join(has.withColumnRenamed("file_name", "before"), "before").select("feed_id", "file_seq", "file_name", "before", "path", F.col("type").alias("from_type"))
     both = cut_lineage(old.join(new, ["feed_id", "file_seq", "file_name", "before", "path"], "full_outer"))
@@ -145,7 +168,7 @@ def changes_between(feed: DataFrame, parsed: DataFrame, fields: DataFrame, progr
     at = ["feed_id", "file_seq", "file_name", "before"]
     # values of vanished fields in the old file, and of new fields in the new one, by id
     numbers = program_map(programs)
-    lists = F.create_map(*[F.lit(x.lower()) for kv in LIST_NUMBERS.items() for x in kv])
+    lists = F.create_map(*[F.lit(x.lower()) for kv in list_numbers.items() for x in kv])
     known = lambda t: F.coalesce(F.lower(numbers[t]), lists[t], t)
     open_pairs = gone.select(*at).distinct().join(come.select(*at).distinct(), at)
     vanished = gone.join(open_pairs, at, "left_semi").select(*at, "path")
@@ -192,10 +215,9 @@ def schema_versions(files: DataFrame, records: DataFrame) -> DataFrame:
     The fingerprint hashes the sorted (path, type) pairs that the file has; a file without readable
     records has that of no fields.
     """
-    parsed = readable(records)
-    prints = file_fields(fields_of(parsed), parsed).groupBy("file_name").agg(F.sha2(F.to_json(F.array_sort(F.collect_list(F.struct("path", "type")))), 256).alias("fingerprint"))
+    parsed, fields = read_once(records)
     feed = Window.partitionBy("feed_id").orderBy("file_seq")
-    rows = feed_files(files).join(prints, "file_name", "left").withColumn("fingerprint", F.coalesce("fingerprint", F.sha2(F.lit("[]"), 256)))
+    rows = with_fingerprints(feed_files(files), file_fields(fields, parsed))
     step = F.when(F.lag("fingerprint").over(feed).eqNullSafe(F.col("fingerprint")), 0).otherwise(1)
     return rows.withColumn("step", step).select("feed_id", "file_seq", "file_name", "fingerprint", F.sum("step").over(feed).cast("int").alias("version"))
 
@@ -205,14 +227,14 @@ def spelling(path: Column) -> Column:
     return F.lower(F.regexp_replace(F.regexp_replace(path, r"^properties\.", ""), "_+$", ""))
 
 
-def migration_rules(feed: DataFrame, changes: DataFrame, fields: DataFrame, programs: DataFrame) -> DataFrame:
+def migration_rules(feed: DataFrame, changes: DataFrame, fields: DataFrame, programs: DataFrame, *, list_numbers: Mapping[str, str] = LIST_NUMBERS, base_paths: Mapping[str, Mapping[str, str]] = BASE_PATHS) -> DataFrame:
     """(feed_id, spelling, target): which field names of a feed hold which canonical field.
 
     Starting at the first file's layout, every rename step passes a field's target on to its new path.
     A field that appears anew, or that a feed's first file already has under another path, has its
     target by content: programme codes or numbers, or list names.
     """
-    base = [F.struct(F.lit(f).alias("file_format"), F.lit(t).alias("target"), F.lit(p).alias("path")) for f, paths in BASE_PATHS.items() for t, p in paths.items()]
+    base = [F.struct(F.lit(f).alias("file_format"), F.lit(t).alias("target"), F.lit(p).alias("path")) for f, paths in base_paths.items() for t, p in paths.items()]
     start = feed.select("feed_id", "file_format").distinct().withColumn("b", F.explode(F.array(*base))).where("b.file_format = file_format").select("feed_id", "b.path", "b.target", F.lit(0).alias("way"))
     steps = changes.where("change_kind = 'renamed'").select("feed_id", "file_seq", "from_path", "to_path")
 
@@ -229,7 +251,7 @@ def migration_rules(feed: DataFrame, changes: DataFrame, fields: DataFrame, prog
     codes = F.map_values(program_map(programs))
     numbers = F.map_keys(program_map(programs))
     vocabulary = F.transform(F.concat(codes, numbers), lambda x: F.lower(x))
-    names = F.array(*[F.lit(v.lower()) for v in LIST_NUMBERS.values()])
+    names = F.array(*[F.lit(v.lower()) for v in list_numbers.values()])
     held = content("json")
     like = F.when(F.exists(held, lambda x: F.array_contains(vocabulary, x)), "programs").when(F.exists(held, lambda x: F.array_contains(names, x)), "list")
     guessed = (
@@ -244,7 +266,7 @@ def migration_rules(feed: DataFrame, changes: DataFrame, fields: DataFrame, prog
     return rules.groupBy("feed_id", "spelling").agg(F.min(F.struct("way", "path", "target")).getField("target").alias("target"))
 
 
-def consistent_records(files: DataFrame, records: DataFrame, programs: DataFrame) -> DataFrame:
+def consistent_records(files: DataFrame, records: DataFrame, programs: DataFrame, *, list_numbers: Mapping[str, str] = LIST_NUMBERS, base_paths: Mapping[str, Mapping[str, str]] = BASE_PATHS) -> DataFrame:
     """All readable records in one table: (feed_id, file_seq, file_name, line_no, id, name, aliases, nationality, dob, list, programs).
 
     Each file goes through its feed's chain of renames, then defaults (a missing list is the file's
@@ -253,13 +275,12 @@ def consistent_records(files: DataFrame, records: DataFrame, programs: DataFrame
     sent twice in a file is one row for each of its lines; a file sent twice counts once.  Fields that
     a record lacks are null, or empty arrays.
     """
-    parsed = readable(records)
-    fields = fields_of(parsed)
+    parsed, fields = read_once(records)
     feed = feed_files(files)
-    changes = cut_lineage(changes_between(feed, parsed, fields, programs))
-    rules = cut_lineage(migration_rules(feed, changes, fields, programs))
+    changes = cut_lineage(changes_between(feed, parsed, fields, programs, list_numbers=list_numbers))
+    rules = cut_lineage(migration_rules(feed, changes, fields, programs, list_numbers=list_numbers, base_paths=base_paths))
     numbers = program_map(programs)
-    lists = F.create_map(*[F.lit(x) for kv in LIST_NUMBERS.items() for x in kv])
+    lists = F.create_map(*[F.lit(x) for kv in list_numbers.items() for x in kv])
     lines = parsed.groupBy("file_name", "line_no").agg(F.max("id").alias("id"))
     held = (
         fields.join(feed, "file_name")
