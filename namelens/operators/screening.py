@@ -72,19 +72,28 @@ def _queries(asked: DataFrame) -> DataFrame:
     return spelt.select("qid", "threshold", "lists", F.get("variants", F.lit(0))["text"].alias("base"), _shapes(F.col("variants"), False).alias("shapes"), N.prefix_keys(F.col("variants")).alias("keys"))
 
 
-_VERDICT = T.StructType([T.StructField(c, T.DoubleType()) for c in ("token", "string", "initial")])
+_VERDICT = T.StructType([T.StructField(c, T.DoubleType()) for c in ("token", "string")])
 
 
 @F.pandas_udf(_VERDICT)
-def _compared(left: pd.Series, right: pd.Series, threshold: pd.Series, initials: pd.Series, expanded: pd.Series) -> pd.DataFrame:
-    """Token score, string score and, where initials are given and fit, that of the name expanded from them."""
+def _compared(left: pd.Series, right: pd.Series, threshold: pd.Series) -> pd.DataFrame:
+    """Token score and string score."""
     token, string = scored_pairs(left.to_numpy(object), right.to_numpy(object), threshold.to_numpy())
-    initial = np.zeros(len(left))
-    asked = np.flatnonzero(initials.notna())
-    if len(asked):
-        asked = asked[jaro_winkler_pairs(left.iloc[asked].tolist(), initials.iloc[asked].tolist()) >= INITIALS_SCORE]
-        initial[asked] = jaro_winkler_pairs(left.iloc[asked].tolist(), expanded.iloc[asked].tolist())
-    return pd.DataFrame({"token": token, "string": string, "initial": initial})
+    return pd.DataFrame({"token": token, "string": string})
+
+
+@F.pandas_udf(T.DoubleType())
+def _by_initials(left: pd.Series, initials: pd.Series, expanded: pd.Series) -> pd.Series:
+    """The score of the name expanded from initials where these fit, else 0."""
+    out = np.zeros(len(left))
+    fit = np.flatnonzero(jaro_winkler_pairs(left.tolist(), initials.tolist()) >= INITIALS_SCORE)
+    if len(fit):
+        out[fit] = jaro_winkler_pairs(left.iloc[fit].tolist(), expanded.iloc[fit].tolist())
+    return pd.Series(out)
+
+
+#: A filter on a deterministic function's result is pushed below it, which would compute every pair twice.
+_compared, _by_initials = _compared.asNondeterministic(), _by_initials.asNondeterministic()
 
 
 @F.pandas_udf(T.DoubleType())
@@ -155,13 +164,13 @@ def match(queries: DataFrame, watchlist: DataFrame) -> DataFrame:
     q_flat = queries.select("qid", "threshold", "lists", F.explode("shapes").alias("q"))
     e_flat = watchlist.select("entry", "list_type", F.explode("shapes").alias("e"))
     translit = (F.col("q.label") == "translit") | (F.col("e.label") == "translit")
-    explain = lambda method, token, string: F.struct(
-        F.col("q.text").alias("input_variant"),
-        F.col("e.text").alias("matched_variant"),
+    explain = lambda q_text, e_text, method, label, alias, crossed, token, string: F.struct(
+        F.col(q_text).alias("input_variant"),
+        F.col(e_text).alias("matched_variant"),
         method.alias("method"),
-        F.col("e.label").alias("normalization"),
-        F.col("e.is_alias").alias("is_alias"),
-        translit.alias("is_translit"),
+        F.col(label).alias("normalization"),
+        alias.alias("is_alias"),
+        crossed.alias("is_translit"),
         token.alias("token_score"),
         string.alias("string_score"),
     ).cast(EXPLAIN)
@@ -174,35 +183,33 @@ def match(queries: DataFrame, watchlist: DataFrame) -> DataFrame:
     kind = F.when(is_alias, "alias").when(translit, "fuzzy").otherwise("exact")
     rung = F.when(is_alias | ~translit, _SURE).otherwise(_FUZZY)
     score = F.when(is_alias, ALIAS_SCORE).otherwise(EXACT_SCORE)
-    found = equal.select("qid", "entry", rung.alias("rung"), score.alias("score"), F.col("q.pos").alias("q_pos"), F.col("e.pos").alias("e_pos"), kind.alias("match_type"), explain(method, zero, zero).alias("explain"))
-    # similar texts of candidate pairs, primary spellings only; with the first pair of texts goes the question of initials
-    primary = watchlist.select("entry", "initials", "expanded", F.filter("shapes", lambda v: ~v["is_alias"]).alias("e_shapes"))
-    wide = candidates(queries, watchlist).join(queries.select("qid", "threshold", F.col("shapes").alias("q_shapes")), "qid").join(primary, "entry")
-    near = wide.select("qid", "entry", "threshold", "initials", "expanded", F.explode("q_shapes").alias("q"), "e_shapes")
-    near = near.select("qid", "entry", "threshold", "initials", "expanded", "q", F.explode("e_shapes").alias("e"))
-    letters = F.length("initials")
-    asks = (F.col("q.pos") == 0) & (F.col("e.pos") == 0) & (letters > 0) & (F.col("q.length") <= 2 * letters) & (letters <= 2 * F.col("q.length"))
-    similar = (F.col("q.text") != F.col("e.text")) & may_reach(F.col("threshold"), F.col("q"), F.col("e"))
-    near = near.withColumn("asks", asks).withColumn("similar", similar).where("asks OR similar")
+    found = equal.select("qid", "entry", rung.alias("rung"), score.alias("score"), F.col("q.pos").alias("q_pos"), F.col("e.pos").alias("e_pos"), kind.alias("match_type"), explain("q.text", "e.text", method, "e.label", is_alias, translit, zero, zero).alias("explain"))
+    # similar texts of candidate pairs, primary spellings only
+    pairs = candidates(queries, watchlist)
+    primary = watchlist.select("entry", F.filter("shapes", lambda v: ~v["is_alias"]).alias("e_shapes"))
+    wide = pairs.join(queries.select("qid", "threshold", F.col("shapes").alias("q_shapes")), "qid").join(primary, "entry")
+    near = wide.select("qid", "entry", "threshold", F.explode("q_shapes").alias("q"), "e_shapes").select("qid", "entry", "threshold", "q", F.explode("e_shapes").alias("e"))
+    near = near.where((F.col("q.text") != F.col("e.text")) & may_reach(F.col("threshold"), F.col("q"), F.col("e")))
     # only what is asked for goes along with the texts: rows wait beside the Arrow batches
-    slim = near.select(
-        "qid", "entry", "threshold", "similar", F.col("q.pos").alias("q_pos"), F.col("e.pos").alias("e_pos"), F.col("q.text").alias("q_text"), F.col("e.text").alias("e_text"),
-        F.when(F.col("asks"), F.col("initials")).alias("initials"), F.when(F.col("asks"), F.col("expanded")).alias("expanded"),
-    ).withColumn("s", _compared("q_text", "e_text", "threshold", "initials", "expanded"))
+    slim = near.select("qid", "entry", "threshold", F.col("q.pos").alias("q_pos"), F.col("e.pos").alias("e_pos"), F.col("q.text").alias("q_text"), F.col("e.text").alias("e_text"), translit.alias("crossed"), F.col("e.label").alias("label"))
+    slim = slim.withColumn("s", _compared("q_text", "e_text", "threshold"))
     reached = lambda c: (F.col(c) >= F.col("threshold")) & (F.col(c) > 0)
-    by_token, by_string = F.col("similar") & reached("s.token"), F.col("similar") & reached("s.string")
-    place = [F.col("q_pos"), F.col("e_pos")]
-    scored = F.when(by_token | by_string, F.struct(F.lit(_FUZZY).alias("rung"), F.when(by_token, F.col("s.token")).otherwise(F.col("s.string")).alias("score"), *place, by_token.alias("by_token")))
-    initial = F.when(F.col("initials").isNotNull() & reached("s.initial"), F.struct(F.lit(_INITIAL).alias("rung"), F.col("s.initial").alias("score"), *place, F.lit(False).alias("by_token")))
-    judged = slim.select("qid", "entry", F.explode(F.array_compact(F.array(scored, initial))).alias("m")).select("qid", "entry", "m.*")
-    # the best of each pair, and then the texts that explain it
+    by_token = reached("s.token")
+    kept = ["qid", "entry", "q_pos", "e_pos", "q_text", "e_text", "crossed", "label"]
+    judged = slim.where(by_token | reached("s.string")).select(*kept, F.lit(_FUZZY).alias("rung"), F.when(by_token, F.col("s.token")).otherwise(F.col("s.string")).alias("score"), by_token.alias("by_token"))
+    # the question of initials, for the first texts of either side
+    asked = queries.select("qid", "threshold", F.col("base").alias("q_text"), F.length("base").alias("size"))
+    named = watchlist.where("initials <> ''").select("entry", "initials", "expanded", F.length("initials").alias("letters"))
+    lettered = pairs.join(asked, "qid").join(named, "entry").where("size <= 2 * letters AND letters <= 2 * size")
+    lettered = lettered.withColumn("score", _by_initials("q_text", "initials", "expanded")).where(reached("score"))
+    none, zeroth = F.lit(None).cast("string"), F.lit(0)
+    judged = judged.unionByName(lettered.select("qid", "entry", zeroth.alias("q_pos"), zeroth.alias("e_pos"), "q_text", none.alias("e_text"), F.lit(False).alias("crossed"), none.alias("label"), F.lit(_INITIAL).alias("rung"), "score", F.lit(False).alias("by_token")))
+    # the best of each pair
     first = Window.partitionBy("qid", "entry").orderBy(F.desc("score"), "rung", "q_pos", "e_pos")
     judged = judged.withColumn("r", F.row_number().over(first)).where("r = 1").drop("r")
-    told = judged.join(queries.select("qid", "shapes"), "qid").withColumn("q", F.get("shapes", F.col("q_pos"))).drop("shapes")
-    told = told.join(watchlist.select("entry", "shapes"), "entry").withColumn("e", F.get("shapes", F.col("e_pos"))).drop("shapes")
     by_token, fuzzy = F.col("by_token"), F.col("rung") == _FUZZY
-    why = explain(F.when(by_token, "token").otherwise("fuzzy"), F.when(by_token, F.col("score")).otherwise(zero), F.when(by_token, zero).otherwise(F.col("score")))
-    judged = told.select("qid", "entry", "rung", "score", "q_pos", "e_pos", F.when(fuzzy, "fuzzy").otherwise("initial").alias("match_type"), F.when(fuzzy, why).alias("explain"))
+    why = explain("q_text", "e_text", F.when(by_token, "token").otherwise("fuzzy"), "label", F.lit(False), F.col("crossed"), F.when(by_token, F.col("score")).otherwise(zero), F.when(by_token, zero).otherwise(F.col("score")))
+    judged = judged.select("qid", "entry", "rung", "score", "q_pos", "e_pos", F.when(fuzzy, "fuzzy").otherwise("initial").alias("match_type"), F.when(fuzzy, why).alias("explain"))
     every = found.unionByName(judged)
     # equal texts first; then the better score, the first variant, and initials only if strictly better
     best = Window.partitionBy("qid", "entry").orderBy(F.col("rung") != _SURE, F.desc("score"), "rung", "q_pos", "e_pos")
