@@ -19,6 +19,7 @@ from __future__ import annotations
 from itertools import combinations
 
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,8 +36,8 @@ LEAST_LIKENESS = 0.6
 
 _ENCODED = T.StructType(
     [
-        T.StructField("left", T.ArrayType(T.BinaryType())),
-        T.StructField("right", T.ArrayType(T.BinaryType())),
+        T.StructField("left", T.ArrayType(T.LongType())),
+        T.StructField("right", T.ArrayType(T.LongType())),
         T.StructField("v0", T.LongType()),
         T.StructField("v1", T.LongType()),
         T.StructField("radius", T.IntegerType()),
@@ -57,29 +58,30 @@ def cleared(half: int, bits: int) -> list[int]:
     return [half & ~sum(some) for some in combinations(own, bits)]
 
 
-def index_keys(word: str, most: int | None = None) -> tuple[list[bytes], list[bytes]]:
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def index_keys(word: str) -> tuple[list[int], list[int]]:
     """(left, right) keys of a word's vector: two words within their radius share a left and a right key, or a right and a left one.
 
     A key tells how many bits either side has cleared, so that keys meet only if the sum is within half the radius.
+    Keys are hashes; what meets by chance is told apart by the vectors.
     """
     v = vector(word)
-    half = (radius(v.bit_count()) if most is None else most) // 2
+    half = radius(v.bit_count()) // 2
     left, right = [], []
     for i, part in enumerate((v & _HALF, v >> 64)):
         for own in range(half + 1):
             masked = [x.to_bytes(8, "little") for x in cleared(part, own)]
             for other in range(half + 1 - own):
                 if other <= own:
-                    left += [bytes([i, own, other]) + x for x in masked]
+                    left += [_signed(xxhash.xxh3_64_intdigest(x, i << 16 | own << 8 | other)) for x in masked]
                 if own <= other:
-                    right += [bytes([i, other, own]) + x for x in masked]
+                    right += [_signed(xxhash.xxh3_64_intdigest(x, i << 16 | other << 8 | own)) for x in masked]
     return left, right
 
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
-
-
 @F.pandas_udf(_ENCODED)
 def _encoded(words: pd.Series) -> pd.DataFrame:
     out = []
@@ -95,7 +97,8 @@ def close_words(words: DataFrame) -> DataFrame:
 
     Words are close within their radius (that of the shorter one), or as nicknames of each other.
     """
-    known = cut_lineage(words.select("word", _encoded("word").alias("e")).select("word", "e.*"))
+    parts = 2 * words.sparkSession.sparkContext.defaultParallelism  # few bytes make much work here, which sizes alone do not tell
+    known = cut_lineage(words.repartition(parts, "word").select("word", _encoded("word").alias("e")).select("word", "e.*"))
     a = known.select(F.col("word").alias("a"), F.col("v0").alias("a0"), F.col("v1").alias("a1"), F.col("radius").alias("ra"), F.explode("left").alias("key"))
     b = known.select(F.col("word").alias("b"), F.col("v0").alias("b0"), F.col("v1").alias("b1"), F.col("radius").alias("rb"), F.explode("right").alias("key"))
     apart = F.bit_count(F.col("a0").bitwiseXOR(F.col("b0"))) + F.bit_count(F.col("a1").bitwiseXOR(F.col("b1")))
