@@ -111,6 +111,8 @@ def _word_script(word: str) -> tuple[frozenset[str], str | None]:
 def usual_form(value: str) -> tuple[str, bool]:
     """The consistent form of a value, and whether a character of it was not the usual one.
 
+    A word whose letters have no script in common counts as such even where no letter is known to stand in for another.
+
     Case, misspellings and plain blanks within the value are left alone; plain blanks around it are
     cut off in the form only.  Words truly of another script stay as they are.
     """
@@ -163,7 +165,7 @@ def usual_form(value: str) -> tuple[str, bool]:
         a, b, _ = words[k]
         form = form[:a] + spelt[k] + form[b:]
     form = unicodedata.normalize("NFC", form)
-    return form.strip(" "), form != value
+    return form.strip(" "), form != value or any(best is not None for *_, best in judged)
 
 
 _FORM = T.StructType([T.StructField("form", T.StringType()), T.StructField("unusual", T.BooleanType())])

@@ -33,6 +33,11 @@ def test_usual(value):
     assert usual_form(value) == (value.strip(), False)
 
 
+@pytest.mark.parametrize("value", ["ꓡisa", "ⲟmar", "ᗪavid", "Yamaᚠ"])
+def test_mixed_words_are_unusual_in_any_script(value):
+    assert usual_form(value)[1]
+
+
 def test_values_of_rows(spark):
     rows = [("1", "Nаsser", '["ok", "A\\u00a0B", null]', "", "", "", ""), ("2", None, "null", None, None, None, None), ("3", "", "{broken", "", "", "", ""), ("3", "x" * 20_000 + "​", None, "", "", "", "")]
     people = spark.createDataFrame(rows, PEOPLE).withColumn("value", F.lit(1)).withColumn("alias_index", F.lit(2))
