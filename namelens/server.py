@@ -3,34 +3,44 @@
 from __future__ import annotations
 
 import json
+import threading
 import time
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from namelens.operators.aggregates import batch_response
 from namelens.operators.screening import prepare_watchlist, screen
 from namelens.schema import DEFAULT_LISTS, DEFAULT_THRESHOLD, validate_threshold
 from namelens.sources.store import WatchlistStore
 
+#: Seconds that a connection may be silent.
+TIMEOUT = 30
 #: Bytes of a request's body at most.
 MOST_BYTES = 1 << 20
 
 
 class Service:
-    """Answers requests; the prepared watchlist is kept until the store's version changes."""
+    """Answers requests; the prepared watchlist of each set of lists is kept until the store's version changes.
+
+    A table that requests may still read is not dropped at once but left to the session's cleaner.
+    """
 
     def __init__(self, spark: SparkSession, store: str):
         self.spark, self.store = spark, WatchlistStore(spark, store)
-        self._kept: tuple | None = None
-
-    def _watchlist(self, lists):
-        key = (self.store.version(), tuple(sorted(set(lists))))
-        if self._kept is None or self._kept[0] != key:
-            if self._kept is not None:
-                self._kept[1].unpersist()
-            self._kept = (key, prepare_watchlist(self.store.load(key[1])).cache())
-        return self._kept[1]
+        self._kept: dict[tuple, DataFrame] = {}
+        self._version: object = None
+        self._lock = threading.Lock()
+
+    def _watchlist(self, lists) -> DataFrame:
+        key = tuple(sorted(set(lists)))
+        with self._lock:
+            version = self.store.version()
+            if version != self._version:
+                self._version, self._kept = version, {}
+            if key not in self._kept:
+                self._kept[key] = prepare_watchlist(self.store.load(key)).cache()
+            return self._kept[key]
 
     def _screen(self, names: list[str], body: dict) -> list[dict]:
         threshold = validate_threshold(body["threshold"] if body.get("threshold") is not None else DEFAULT_THRESHOLD)
@@ -70,6 +80,14 @@ def serve(spark: SparkSession, store: str, port: int) -> None:
     service = Service(spark, store)
 
     class Handler(BaseHTTPRequestHandler):
+        timeout = TIMEOUT
+
+        def do_OPTIONS(self) -> None:
+            self.send_response(204)
+            for name, value in (("Access-Control-Allow-Origin", "*"), ("Access-Control-Allow-Methods", "GET, POST, OPTIONS"), ("Access-Control-Allow-Headers", "Content-Type"), ("Content-Length", "0")):
+                self.send_header(name, value)
+            self.end_headers()
+
         def _reply(self, status: int, answer: object) -> None:
             data = json.dumps(answer, ensure_ascii=False).encode()
             self.send_response(status)
@@ -92,4 +110,10 @@ def serve(spark: SparkSession, store: str, port: int) -> None:
                 return self._reply(400, {"error": "invalid JSON"})
             return self._reply(*service.answer("POST", self.path, body))
 
-    ThreadingHTTPServer(("", port), Handler).serve_forever()
+    server = ThreadingHTTPServer(("", port), Handler)
+    try:
+        server.serve_forever()
+    except KeyboardInterrupt:
+        server.shutdown()
+    finally:
+        server.server_close()
