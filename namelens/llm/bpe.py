@@ -2,10 +2,10 @@
 
 Texts of an Arrow batch are laid end to end as one array of code points, and each code point is
 replaced by its class: letter, number, plain blank, other white space, apostrophe, anything else.
-Where a piece begins is then a question of automaton states.  Every class maps all states to one,
-except within the few letters after an apostrophe, so the composition of the transition functions is
-constant within four characters: the associative scan over them ends after two doubling steps, which
-are written as array shifts.  No regular expression runs.  The pieces between the borders are merged
+Whether a piece begins at a code point depends on the classes of it and its neighbours, and on at most
+three letters after an apostrophe, so borders are found by comparing shifted arrays; a scan over
+transition functions would come to the same after that many steps, and none is run.  Neither is a
+regular expression.  The pieces between the borders are merged
 by the vocabulary's ranks, each distinct piece once as long as it stays in the cache.
 """
 
