@@ -1,11 +1,11 @@
 """Encoding of a whole corpus with a byte-level BPE vocabulary.
 
 Texts of an Arrow batch are laid end to end as one array of code points, and each code point is
-replaced by its class: letter, number, plain blank, other white space, apostrophe, anything else.
-Whether a piece begins at a code point depends on the classes of it and its neighbours, and on at most
-three letters after an apostrophe, so borders are found by comparing shifted arrays; a scan over
-transition functions would come to the same after that many steps, and none is run.  Neither is a
-regular expression.  The pieces between the borders are merged
+replaced by its class, which also tells what a look at the next ones shows: that white space ends, or that
+letters may go with an apostrophe.  Where a piece begins is a question of automaton states.  Each class is a
+transition function over the states; the functions are composed by an associative scan with doubled
+steps, which ends as soon as all compositions are constant: after the few characters that an apostrophe
+reaches.  No regular expression runs.  The pieces between the borders are merged
 by the vocabulary's ranks, each distinct piece once as long as it stays in the cache.
 """
 
@@ -53,38 +53,64 @@ def classes() -> np.ndarray:
     return table
 
 
-def borders(points: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Which code points begin a piece; ``first`` marks those that begin a text."""
+#: Classes as the automaton reads them: a letter, one that may end after an apostrophe, one that may begin two such, ...
+PLAIN, ENDING, PAIRED, DIGIT, SIGN, QUOTE, INNER_WHITE, LAST_BLANK, LAST_WHITE = range(9)
+#: States: at a text's start, in a run of letters, numbers or signs, in white space, after a blank that goes with the next
+#: piece, after an apostrophe that begins a piece, after what went with it, and amid the two letters that do.
+START, IN_LETTERS, IN_DIGITS, IN_SIGNS, IN_WHITE, HELD_BLANK, AT_QUOTE, CLOSED, AMID = range(9)
+
+
+def _automaton() -> tuple[np.ndarray, np.ndarray]:
+    """(state that follows, whether a piece begins) by class and state."""
+    follows, begins = np.zeros((9, 9), np.uint8), np.ones((9, 9), bool)
+    for state in range(9):
+        for kind, run in ((PLAIN, IN_LETTERS), (ENDING, IN_LETTERS), (PAIRED, IN_LETTERS), (DIGIT, IN_DIGITS), (SIGN, IN_SIGNS), (QUOTE, IN_SIGNS)):
+            follows[kind, state] = run
+            begins[kind, state] = state not in (run, HELD_BLANK)
+        if state not in (IN_SIGNS, HELD_BLANK, AT_QUOTE):
+            follows[QUOTE, state] = AT_QUOTE
+        follows[INNER_WHITE, state] = follows[LAST_WHITE, state] = IN_WHITE
+        follows[LAST_BLANK, state] = HELD_BLANK
+    begins[INNER_WHITE, IN_WHITE] = False
+    begins[[SIGN, QUOTE], AT_QUOTE] = False
+    follows[ENDING, AT_QUOTE], follows[PAIRED, AT_QUOTE] = CLOSED, AMID
+    begins[[ENDING, PAIRED], AT_QUOTE] = False
+    for kind in (PLAIN, ENDING, PAIRED):
+        follows[kind, AMID], begins[kind, AMID] = CLOSED, False
+    return follows, begins
+
+
+FOLLOWS, BEGINS = _automaton()
+
+
+def read_classes(points: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The class of each code point as the automaton reads it; ``first`` marks those that begin a text."""
     kind = classes()[points]
-    n = len(kind)
     white = (kind == BLANK) | (kind == SPACE)
-    mark = np.where(kind == APOSTROPHE, np.uint8(OTHER), kind)
-    before = np.empty_like(mark)  # 255 before a text's first character
-    before[0] = 255
-    before[1:] = mark[:-1]
-    before[first] = 255
-    white_before = (before == BLANK) | (before == SPACE)
-    # a run of one class is a piece; white space before anything else gives up its last character
-    last_white = white.copy()
-    last_white[:-1] &= ~white[1:] | first[1:]
-    ends_text = np.empty(n, bool)
-    ends_text[-1] = True
-    ends_text[:-1] = first[1:]
-    begins = np.where(white, ~white_before | (last_white & ~ends_text), (mark != before) & (before != BLANK))
-    # an apostrophe where a piece begins takes s, t, m, d, re, ve or ll with it
-    starts = np.flatnonzero((kind == APOSTROPHE) & ((before == LETTER) | (before == NUMBER) | (before == SPACE) | (before == 255)))
-    if len(starts):
-        padded = np.concatenate([points, np.zeros(3, points.dtype)])
-        new_text = np.concatenate([first, np.ones(3, bool)])
-        one = np.where(new_text[starts + 1], 0, padded[starts + 1])
-        two = np.where(new_text[starts + 2] | (one == 0), 0, padded[starts + 2])
-        short = np.isin(one, [ord(c) for c in "stmd"])
-        long = ((one == ord("r")) & (two == ord("e"))) | ((one == ord("v")) & (two == ord("e"))) | ((one == ord("l")) & (two == ord("l")))
-        begins[starts[short | long] + 1] = False
-        after = np.concatenate([starts[short] + 2, starts[long] + 3])
-        begins[starts[long] + 2] = False
-        begins[after[after < n]] = True
-    return begins | first
+    read = np.array([PLAIN, DIGIT, LAST_BLANK, LAST_WHITE, QUOTE, SIGN], np.uint8)[kind]
+    goes_on = np.append(~first[1:], False)  # the text has a next character
+    after = np.append(points[1:], 0)
+    read[white & (~goes_on | np.append(white[1:], True))] = INNER_WHITE
+    read[(points == ord("s")) | (points == ord("t")) | (points == ord("m")) | (points == ord("d"))] = ENDING
+    read[goes_on & ((((points == ord("r")) | (points == ord("v"))) & (after == ord("e"))) | ((points == ord("l")) & (after == ord("l"))))] = PAIRED
+    return read
+
+
+def borders(points: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Which code points begin a piece; ``first`` marks those that begin a text."""
+    read = read_classes(points, first)
+    reach = FOLLOWS[read]  # for each code point the state that follows, by the state before
+    reach[first] = FOLLOWS[read[first], START][:, None]
+    step = 1
+    open_ones = np.flatnonzero((reach != reach[:, :1]).any(axis=1))
+    while len(open_ones):  # never a text's first code point, whose function is constant
+        reach[open_ones] = np.take_along_axis(reach[open_ones], reach[open_ones - step], axis=1)
+        step *= 2
+        open_ones = open_ones[(reach[open_ones] != reach[open_ones, :1]).any(axis=1)]
+    state = np.empty(len(points), np.uint8)
+    state[0] = START
+    state[1:] = reach[:-1, 0]
+    return BEGINS[read, state] | first
 
 
 class Encoder:
