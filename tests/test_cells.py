@@ -56,3 +56,10 @@ def test_counts_are_those_of_the_rows(spark, numbered):
     rows = aggregates.match_counts(inputs, screening.screen(inputs, numbered)).orderBy("input_id").collect()
     counts = aggregates.with_zeros(inputs, screening.counted(inputs, numbered)).orderBy("input_id").collect()
     assert counts == rows and sum(r["count"] for r in rows) > 900
+
+
+def test_rows_are_ordered_once(spark, numbered):
+    """The best match of a pair is chosen in its cell: the only window of the plan ranks the matches of a name."""
+    inputs = spark.createDataFrame([(1, "Supplier One", 0.9, None)], INPUTS)
+    plan = screening.screen(inputs, numbered)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Window [") == 1 and plan.count("ArrowEvalPython") == 0
