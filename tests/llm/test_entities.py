@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import itertools
 import random
 
 from hypothesis import given, settings
@@ -152,3 +154,45 @@ def test_fitted_weights(spark):
 
 def test_sounds_and_vectors():
     assert sound("Zhukoff".lower()) == sound("zhukov") and vector("").bit_count() <= 1
+
+
+def test_index_keys_are_sent_together(spark):
+    """The keys of words come to their buckets in few rows, not one a key."""
+    words = [("".join(p) + "onetariv",) for p in itertools.product("bdgklmnprstz", repeat=2)]
+    known = vectors.encoded(spark.createDataFrame(words, "word string"))
+    plan = vectors.close_numbers(known)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 2
+    sent = known.select("w", "v0", "v1", "radius").coalesce(1).mapInArrow(functools.partial(vectors._bucketed, buckets=3), vectors._SENT)
+    assert sent.count() == 3 and sum(len(r.left) // 4 for r in sent.collect()) == sum(len(vectors.index_keys(w)[0]) for (w,) in words)
+
+
+def test_words_of_frequent_dates(spark, monkeypatch):
+    """Dates of many words are looked up in the close words, with the same pairs."""
+    names = ["Petrovalin Ivan", "Petrovalim Omar", "Bob Danmedurier", "Robert Vallinorat", "Petrovalin Oleg", "Gorhinba Lena", "Li Bo"]
+    rows = [(f"X{i}{k}", n, '["El Primo"]' if i % 2 else None, f"1950-0{1 + k}-12", "RU", "OFAC", PERSON) for k in range(2) for i, n in enumerate(names)]
+    _, entities, spelt, spellings, close = linkage.prepared(spark.createDataFrame(rows, PEOPLE))
+    for fresh in (None, F.col("eid") < "X4"):
+        found = []
+        for many in (1000, 3):
+            monkeypatch.setattr(vectors, "MANY", many)
+            found.append(sorted(map(tuple, vectors.dated_pairs(entities, spelt, spellings, close, fresh).collect())))
+        assert found[0] == found[1] and len(found[0]) >= 3
+
+
+def test_frequent_words_are_not_multiplied_by_dates(spark):
+    """The words of a date are compared by their vectors: the plan has no join with the close words."""
+    _, entities, spelt, spellings, close = linkage.prepared(table(spark))
+    plan = vectors.dated_pairs(entities, spelt, spellings, close)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 3 and "bit_count" in plan  # two leave frequent dates out
+
+
+def test_checkpoints_leave_no_shuffle_files(spark):
+    from namelens.session import cut_lineage
+
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {n.rsplit("/", 1)[-1] for n in blocks.getAllFiles().mkString("\n").split("\n") if "shuffle_" in n}
+    before = files()
+    kept = cut_lineage(spark.range(1000).repartition(3).groupBy((F.col("id") % 7).alias("k")).count())
+    assert not files() - before
+    assert kept.count() == 7
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
