@@ -196,3 +196,14 @@ def test_checkpoints_leave_no_shuffle_files(spark):
     assert not files() - before
     assert kept.count() == 7
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def test_later_rounds_join_what_is_new(spark):
+    """With few fresh entities only bearers of spellings near theirs are joined, with the same pairs."""
+    rows = [(f"X{i:02}", f"{g} {n}", None, f"195{i % 3}-03-12" if i % 4 else "", "RU", "OFAC", PERSON) for i, (n, g) in enumerate(itertools.product(("Petrovalin", "Petrovalim", "Danmedurier", "Vallinorat"), ("Ivan", "Vanya", "Omar")))]
+    _, entities, spelt, spellings, close = linkage.prepared(spark.createDataFrame(rows, PEOPLE))
+    every = vectors.scored_names(vectors.name_pairs(spellings, close), spellings)
+    some = entities.withColumn("fresh", F.col("eid").isin("X01", "X07"))
+    pairs = [linkage.compared(some, spelt, spellings, every, **k) for k in ({}, {"partly": True})]
+    found = [sorted(map(tuple, p.collect())) for p in pairs]
+    assert found[0] == found[1] and 0 < len(found[0]) < linkage.compared(entities, spelt, spellings, every).count()
