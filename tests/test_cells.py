@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from namelens.functions import similarity as S
-from namelens.functions.cells import Compared, Spelt, Winkler
+from namelens.functions.cells import Candidates, Compared, Sieve, Spelt, Winkler
 from namelens.operators import aggregates, screening
 from namelens.session import cut_lineage
 
@@ -63,3 +63,40 @@ def test_rows_are_ordered_once(spark, numbered):
     inputs = spark.createDataFrame([(1, "Supplier One", 0.9, None)], INPUTS)
     plan = screening.screen(inputs, numbered)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Window [") == 1 and plan.count("ArrowEvalPython") == 0
+
+
+def test_sieve_finds_what_all_pairs_give():
+    rng = random.Random(7)
+    words = ["anna", "ana", "a", "b", "bello", "bell", "x" * 70, "ö", "李", "dvla", "vlad", "vladi"] + ["".join(rng.choice("abcdelv") for _ in range(rng.randint(2, 9))) for _ in range(30)]
+    some = lambda n: list(dict.fromkeys(" ".join(rng.choice(words) for _ in range(rng.randint(1, 4))) for _ in range(n)))
+    left, right = some(60) + [""], sorted({*some(150), "", "y" * 200})
+    compared = Compared(left, right)
+    sieve = Sieve(compared)
+    own = Candidates(sieve, np.arange(len(right)))
+    for t in (0.05, 0.5, 0.8, 1.0):
+        for x in range(len(left)):
+            token, string = compared.scores(np.full(len(right), x), own.at, np.full(len(right), t))
+            by_token = (token >= t) & (token > 0)
+            want = np.flatnonzero((by_token | ((string >= t) & (string > 0))) & (compared.same_text[x] != own.at))
+            places, score, kind = sieve.scores(x, t, own)
+            assert places.tolist() == want.tolist() and (kind == by_token[want]).all()
+            assert (score == np.where(by_token, token, string)[want]).all()
+
+
+def test_matches_of_many_names_are_not_shuffled(spark, numbered, monkeypatch):
+    """Where names alone make enough tasks, the rows are those of the window, and no exchange follows the cells."""
+    asked = [("Supplier#000000037", 1.0, None), ("Supplier One", 0.9, ["EU"]), ("supplier 37", 0.8, ["UN", "EU"]), ("S#000000074", 0.3, None), (None, 0.5, None), ("Owen", 0.6, None), ("x", 2.0, None)]
+    asked += [(f"Supplier#{k:09d}", 0.9, None) for k in range(60)]
+    inputs = spark.createDataFrame([(k if k else None, *x) for k, x in enumerate(asked + asked[:3])], INPUTS)
+    by_window = screening.screen(inputs, numbered)
+    monkeypatch.setattr(screening, "_CELL_PAIRS", 1)
+    monkeypatch.setattr(screening, "_LONG_CELL", 300)
+    monkeypatch.setattr(screening, "_BATCH", 7)
+    rows, brief = screening.screen(inputs, numbered), screening.screen(inputs, numbered, full=False)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    above = plan[: plan.index("MapInArrow")]
+    assert "Window" not in plan and "Exchange" not in above and "Sort" not in above
+    key = lambda r: (r.input_id is not None, r.input_id, r.rank, repr(r))
+    want = sorted(by_window.collect(), key=key)
+    assert len(want) > 1000 and sorted(rows.collect(), key=key) == want and rows.dtypes == by_window.dtypes
+    assert brief.drop("explain").exceptAll(by_window.drop("explain")).count() == 0 and brief.count() == len(want)
