@@ -27,6 +27,18 @@ def _peak(work) -> tuple[object, int, int]:
         tracemalloc.stop()
 
 
+def test_what_is_kept_of_words_is_bounded():
+    """Workers live on from stage to stage: what they keep of a million words must leave room beside the executor's heap."""
+    words = _words(80_000, 3)
+
+    def work() -> None:
+        for x, y in zip(words, words[1:]):
+            V.vector(x), N.initials_of(x), N.nickname_groups(x), N.word_likeness(x, y), N.person_words(f"{x} {y}"), N.firm_words(f"{x} {y}")
+
+    _, kept, _ = _peak(work)
+    assert kept < 60 << 20
+
+
 def test_a_bucket_is_compared_in_bounded_parts():
     """Pairs come out in parts while a bucket is compared, the same as of all words with all."""
     words = _words(8_000, 4)
