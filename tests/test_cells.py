@@ -100,3 +100,20 @@ def test_matches_of_many_names_are_not_shuffled(spark, numbered, monkeypatch):
     want = sorted(by_window.collect(), key=key)
     assert len(want) > 1000 and sorted(rows.collect(), key=key) == want and rows.dtypes == by_window.dtypes
     assert brief.drop("explain").exceptAll(by_window.drop("explain")).count() == 0 and brief.count() == len(want)
+
+
+def test_entries_are_on_disk_once_for_many_names(spark, numbered, monkeypatch):
+    """However many rows of names there are, what is shuffled are the names, and the entries are written once, for all calls."""
+    asked = [(k, f"Supplier#{k * 37:09d}", 0.97, None if k % 3 else ["EU"]) for k in range(60)] + [(7, "Supplier One", 0.9, None), (None, "Owen", 0.6, None)]
+    inputs = spark.createDataFrame(asked, INPUTS)
+    counts, rows = screening.counted(inputs, numbered).collect(), screening.screen(inputs, numbered).drop("explain").collect()
+    monkeypatch.setattr(screening, "_CELL_PAIRS", 1)
+    monkeypatch.setattr(screening, "_LONG_CELL", 300)
+    many, ranked = screening.counted(inputs, numbered), screening.screen(inputs, numbered, full=False).drop("explain")
+    for df in (many, ranked):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "sequence" not in plan and "person_id" not in plan[plan.index("MapInArrow") :].split("\n", 1)[1]
+    key = lambda r: tuple((x is not None, x) for x in r)
+    assert sorted(many.collect(), key=key) == sorted(counts, key=key) and len(counts) > 50
+    assert sorted(ranked.collect(), key=key) == sorted(rows, key=key)
+    assert len(screening._FILES[numbered]) == 1
